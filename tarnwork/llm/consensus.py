@@ -33,8 +33,9 @@ from tarnwork.session import Workspace
 
 #: Pseudo-counts for an annotator's hit rates: worth this many votes of an even guesser.
 PRIOR = 2.0
-#: Excess agreement over that of independent annotators which makes two one voice, and the items it takes.
-COPY_EXCESS, COPY_SUPPORT = 0.2, 30
+#: Two annotators are one voice if they agree on this share of what independent ones of their reliability would
+#: disagree on, by more than so many standard errors, over at least so many items.
+COPY_SHARE, COPY_ERRORS, COPY_SUPPORT = 0.4, 4.0, 30
 
 
 def vote_patterns(ws: Workspace, votes: DataFrame, items: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -73,9 +74,11 @@ def _voices(agree: np.ndarray, both: np.ndarray) -> list[int]:
         r = np.full(s, 0.5)
         for _ in range(200):
             r = np.clip((use * c) @ r / np.maximum((use * r[None, :] ** 2).sum(1), 1e-9), -0.99, 0.99)
-        excess = np.where((both >= COPY_SUPPORT) & ~flagged & ~np.eye(s, dtype=bool), c - np.outer(r, r), 0)
-        i, j = np.unravel_index(np.argmax(excess), excess.shape)
-        if excess[i, j] <= COPY_EXCESS:
+        apart = np.outer(r, r)
+        far = c - apart > COPY_ERRORS * np.sqrt((1 - apart**2) / np.maximum(both, 1))
+        share = np.where((both >= COPY_SUPPORT) & far & ~flagged & ~np.eye(s, dtype=bool), (c - apart) / (1 - apart), 0)
+        i, j = np.unravel_index(np.argmax(share), share.shape)
+        if share[i, j] <= COPY_SHARE:
             break
         flagged[i, j] = flagged[j, i] = True
         a, b = voice[i], voice[j]
