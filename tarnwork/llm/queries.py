@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tarnwork.functions.ids import id_key, not_placeholder, spelled
 from tarnwork.llm.consensus import consensus
 from tarnwork.llm.groups import boruvka_groups
+from tarnwork.llm.mixing import mixture
+from tarnwork.llm.packing import pack
 from tarnwork.llm.splits import blocks, grouped_split
+from tarnwork.llm.tokens import count_tokens
 from tarnwork.session import Workspace
 
 
@@ -95,10 +98,47 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_groups(spark, d).where("group_target_id <> target_chembl_id")
 
 
+# problems 8 and 9
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return count_tokens(_read(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text"), "text")
+
+
+def _capacities(spark: SparkSession, d: str) -> list[int]:
+    t = _read(spark, d, "task_settings").where("setting_name = 'pack_capacity_tokens' and amount >= 1")
+    return sorted({int(r["amount"]) for r in t.select("amount").collect()})
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or part of one that exceeds the capacity, in a container of each capacity."""
+    return pack(_sized(spark, d), "doc_id", "n_tokens", _capacities(spark, d)).withColumnRenamed("size", "n_tokens")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and how full they are, per capacity."""
+    per = p8_containers(spark, d).where("container is not null").groupBy("capacity", "container").agg(F.sum("n_tokens").alias("used"))
+    return per.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest")).withColumn(
+        "fill", F.col("n_tokens") / (F.col("containers") * F.col("capacity"))
+    )
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the mixture, one row per copy."""
+    return mixture(_sized(spark, d), "doc_id", "source", "n_tokens", _read(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source reached against its target."""
+    return mixture(_sized(spark, d), "doc_id", "source", "n_tokens", _read(spark, d, "mix_targets"))[1]
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_sources": p2_sources,
     "p5_found": p5_found, "p5_split": p5_split,
     "p7_found": p7_found, "p7_groups": p7_groups,
+    "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares,
 }
 
 _KEY = "regexp_replace(upper({c}), '[^A-Z0-9]', '', 'g')"
