@@ -10,6 +10,7 @@ from tarnwork.llm.consensus import consensus
 from tarnwork.llm.groups import boruvka_groups
 from tarnwork.llm.mixing import mixture
 from tarnwork.llm.packing import pack
+from tarnwork.llm.sentences import sentence_units
 from tarnwork.llm.splits import blocks, grouped_split
 from tarnwork.llm.tokens import count_tokens
 from tarnwork.session import Workspace
@@ -133,12 +134,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture(_sized(spark, d), "doc_id", "source", "n_tokens", _read(spark, d, "mix_targets"))[1]
 
 
+# problem 10
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_units(_read(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_sources": p2_sources,
     "p5_found": p5_found, "p5_split": p5_split,
     "p7_found": p7_found, "p7_groups": p7_groups,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }
 
 _KEY = "regexp_replace(upper({c}), '[^A-Z0-9]', '', 'g')"
