@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.ids import id_key, not_placeholder, spelled
+from tarnwork.llm.canonical import map_to_list
 from tarnwork.llm.consensus import consensus
 from tarnwork.llm.groups import boruvka_groups
 from tarnwork.llm.mixing import mixture
@@ -52,6 +53,20 @@ def p2_sources(spark: SparkSession, d: str) -> DataFrame:
     return rel
 
 
+# problem 4
+
+
+def p4_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's entered name with its entry, null where it has none."""
+    a = _read(spark, d, "ctd_relations").select(F.lit("ctd_relations").alias("origin"), F.col("relation_id").alias("record_id"), F.col("drug_name").alias("entered"))
+    b = _read(spark, d, "ingredient_bridge").select(F.lit("ingredient_bridge").alias("origin"), F.col("bridge_row_id").alias("record_id"), F.col("ingredient_name").alias("entered"))
+    return map_to_list(a.unionByName(b), ["origin", "record_id"], "entered", _read(spark, d, "drug_vocabulary"), "drug_id", "drug_name", "other_codes")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_names(spark, d).where("drug_id is not null").select("origin", "record_id", "drug_id")
+
+
 # problem 5
 
 
@@ -143,6 +158,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_sources": p2_sources,
+    "p4_found": p4_found, "p4_names": p4_names,
     "p5_found": p5_found, "p5_split": p5_split,
     "p7_found": p7_found, "p7_groups": p7_groups,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
