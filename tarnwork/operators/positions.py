@@ -44,8 +44,8 @@ def with_positions(ws: Workspace, df: DataFrame, counted: dict[str, tuple[str, s
     held = ws.cut(df.withColumn("_pid", F.spark_partition_id()).mapInPandas(number, schema))
     for n, (cls, weight) in counted.items():
         w = F.lit(1) if weight is None else F.coalesce(F.col(weight), F.lit(0))
-        totals = held.where(F.col(cls).isNotNull()).groupBy(F.col(cls).alias("_cls"), F.col("_pid").alias("_p")).agg(F.sum(w).cast("long").alias("_n"))
-        before = Window.partitionBy("_cls").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        totals = held.where(F.col(cls).isNotNull()).groupBy(F.col(cls).alias("_of_cls"), F.col("_pid").alias("_of_pid")).agg(F.sum(w).cast("long").alias("_n"))
+        before = Window.partitionBy("_of_cls").orderBy("_of_pid").rowsBetween(Window.unboundedPreceding, -1)
         offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-        held = held.join(offsets, (F.col(cls) == F.col("_cls")) & (F.col("_pid") == F.col("_p")), "left").withColumn(n, F.col(f"_loc_{n}") + F.col("_off")).drop("_cls", "_p", "_off")
+        held = held.join(offsets, (F.col(cls) == F.col("_of_cls")) & (F.col("_pid") == F.col("_of_pid")), "left").withColumn(n, F.col(f"_loc_{n}") + F.col("_off")).drop("_of_cls", "_of_pid", "_off")
     return held.drop("_pid", *(f"_loc_{n}" for n in counted))
