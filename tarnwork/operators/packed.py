@@ -52,14 +52,16 @@ def shape(text: str) -> str:
     return _CODE.sub(lambda m: m.group().translate(_UPPER_A), t) if "0" in t else t
 
 
-def unquoted(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """The text without quoting and escaping, and the spans it protected.
+def unquoted(text: str) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+    """The text without quoting and escaping, the spans these protected, and
+    those of them that were quoted values.
 
     A quote opens only at the start of a value and closes only before a
     delimiter or the end; a doubled quote inside stands for one.
     """
     out: list[str] = []
     spans: list[tuple[int, int]] = []
+    quoted: list[tuple[int, int]] = []
     n, i, length, at_start = len(text), 0, 0, True
     while i < n:
         c = text[i]
@@ -86,6 +88,7 @@ def unquoted(text: str) -> tuple[str, list[tuple[int, int]]]:
                 body = body.strip()
                 if body:
                     spans.append((length, length + len(body)))
+                    quoted.append(spans[-1])
                     out.append(body)
                     length += len(body)
                 i, at_start = j + 1, False
@@ -96,7 +99,7 @@ def unquoted(text: str) -> tuple[str, list[tuple[int, int]]]:
         if c in "d" and length >= 4 and "".join(out[-4:]) == " and":
             at_start = True
         i += 1
-    return "".join(out), spans
+    return "".join(out), spans, quoted
 
 
 def packed_list(text: str) -> list[str] | None:
@@ -198,7 +201,7 @@ def _learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     key = (shape(v), True)
                     counts[key] = counts.get(key, 0) + 1
                 continue
-            flat, spans = unquoted(text)
+            flat, spans, _ = unquoted(text)
             at = 0
             for a, b, kind in [*cuts_of(flat, spans), (len(flat), len(flat), _STRONG)]:
                 if kind == _SPACE or kind == _WEAK:
@@ -265,7 +268,7 @@ def unpack(df: DataFrame, ids: list[str], field: str, kind: str, support: int =
                     text = raw.strip()
                     got = list(had)
                     if k in by_kind and text[:1] != "[":
-                        flat, _ = unquoted(text)
+                        flat, _, _ = unquoted(text)
                         for e, n in by_kind[k].iter(shape(flat)):
                             got.append(((e + 1 - n) << 32) | (e + 1))
                     hits.append(got)
@@ -289,9 +292,9 @@ def unpack(df: DataFrame, ids: list[str], field: str, kind: str, support: int =
                 text = raw.strip()
                 values = packed_list(text)
                 if values is None:
-                    flat, spans = unquoted(text)
+                    flat, spans, quoted = unquoted(text)
                     known = {(h >> 32, h & 0xFFFFFFFF) for h in map(int, hits)}
-                    known.update(x for x in spans if x[1] - x[0] > 1)  # quoted values are known ones
+                    known.update(quoted)  # quoted values are known ones
                     values = segment(flat, spans, known)
                 at += [r] * len(values)
                 pos += range(1, len(values) + 1)
