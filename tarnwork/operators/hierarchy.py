@@ -11,8 +11,8 @@ relaxed before the chain intervals are expanded, so depths are the fewest
 links in the whole graph, not only in the forest.
 
 Rounds: depth, root and subtree sizes take log2(depth) pointer-doubling
-rounds; trimming takes one round per level of the deepest branch that hangs on
-a cycle-free top; relaxing takes one round per extra link used on a path.
+rounds; trimming, which only tables beyond ``TASK_LINKS`` links need, takes one
+pass per three levels; relaxing takes one round per extra link used on a path.
 
 Defined results for odd input: null ends and repeated links are ignored, a
 link of a node to itself only marks it as its own ancestor, an empty table
@@ -21,9 +21,11 @@ gives empty results, extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.session import Workspace, is_empty
@@ -44,13 +46,18 @@ class Hierarchy:
     links: DataFrame
 
 
-def _trim(ws: Workspace, core: DataFrame, levels: int = 3) -> DataFrame:
+#: Links that one task may hold when it finishes the search for cycles.
+TASK_LINKS = 200_000
+
+
+def _trim(ws: Workspace, core: DataFrame, enough: int, levels: int = 3) -> tuple[DataFrame, int]:
     """Links that can lie on a cycle: both ends have links in and out.
 
-    Each pass takes off several levels before it writes, to save jobs.
+    Each pass takes off several levels before it writes, to save jobs; passes
+    end once ``enough`` links or fewer are left, or none can be taken off.
     """
     n = core.count()
-    while n:
+    while n > enough:
         left = core
         for _ in range(levels):
             left = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(
@@ -63,14 +70,68 @@ def _trim(ws: Workspace, core: DataFrame, levels: int = 3) -> DataFrame:
         if m == n:
             break
         n = m
-    return core
+    return core, n
+
+
+def _tarjan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strongly connected components of one task's links, without recursion."""
+    up: dict[str, list[str]] = {}
+    for pdf in batches:
+        for c, p in zip(pdf["child"], pdf["parent"]):
+            up.setdefault(c, []).append(p)
+            up.setdefault(p, [])
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    on: set[str] = set()
+    rows: list[tuple[str, str]] = []
+    for start in up:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        work = [(start, iter(up[start]))]
+        while work:
+            v, it = work[-1]
+            w = next(it, None)
+            if w is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    comp = []
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        comp.append(w)
+                        if w == v:
+                            break
+                    if len(comp) > 1:
+                        rows += [(w, min(comp)) for w in comp]
+            elif w not in index:
+                index[w] = low[w] = len(index)
+                stack.append(w)
+                on.add(w)
+                work.append((w, iter(up[w])))
+            elif w in on:
+                low[v] = min(low[v], index[w])
+    yield pd.DataFrame(rows, columns=["node", "comp"])
 
 
-def strong_components(ws: Workspace, links: DataFrame) -> DataFrame:
-    """(node, comp) of every node on a cycle of two or more nodes."""
-    core = _trim(ws, ws.cut(links))
+def strong_components(ws: Workspace, links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """(node, comp) of every node on a cycle of two or more nodes.
+
+    Trimming, and forward and backward colouring, split what is left into ever
+    smaller parts; once ``task_links`` links or fewer are left one task ends it.
+    """
+    core, n = _trim(ws, ws.cut(links), task_links)
     found: DataFrame | None = None
-    while not is_empty(core):
+    while n:
+        if n <= task_links:
+            rest = core.coalesce(1).mapInPandas(_tarjan, "node string, comp string")
+            found = rest if found is None else found.unionByName(rest)
+            break
         # forward colours: the largest id that reaches a node
         colour = ws.cut(
             core.select(F.col("child").alias("node")).union(core.select("parent")).distinct().withColumn("colour", F.col("node"))
@@ -100,13 +161,13 @@ def strong_components(ws: Workspace, links: DataFrame) -> DataFrame:
         found = cyc if found is None else found.unionByName(cyc)
         gone = done.select("node")
         rest = core.join(gone, core.child == gone.node, "left_anti").join(gone, core.parent == gone.node, "left_anti")
-        core = _trim(ws, ws.cut(rest))
+        core, n = _trim(ws, ws.cut(rest), task_links)
     if found is None:
         return links.select(F.col("child").alias("node"), F.col("child").alias("comp")).limit(0)
     return ws.cut(found)
 
 
-def build_hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", nodes: DataFrame | None = None) -> Hierarchy:
+def build_hierarchy(links: DataFrame, child: str = "child", parent: str = "parent", nodes: DataFrame | None = None, task_links: int = TASK_LINKS) -> Hierarchy:
     """Label the graph of ``links``. ``nodes`` (column node) may add nodes without links."""
     ws = Workspace(links.sparkSession, "hierarchy")
     given = links.select(F.col(child).cast("string").alias("child"), F.col(parent).cast("string").alias("parent"))
@@ -116,7 +177,7 @@ def build_hierarchy(links: DataFrame, child: str = "child", parent: str = "paren
     if nodes is not None:
         names = names.union(nodes.select(F.col("node").cast("string")).where("node is not null"))
     names = names.distinct()
-    comps = strong_components(ws, proper)
+    comps = strong_components(ws, proper, task_links)
     cyclic = ws.cut(comps.select("node").union(given.where("child = parent").select("child")).distinct())
 
     cc = comps.select(F.col("node").alias("child"), F.col("comp").alias("cc"))

@@ -34,8 +34,8 @@ def brute(edges, roots):
     return rows, cyc
 
 
-def run(spark, edges, roots):
-    h = build_hierarchy(spark.createDataFrame(edges, "child string, parent string, node string"))
+def run(spark, edges, roots, **limits):
+    h = build_hierarchy(spark.createDataFrame(edges, "child string, parent string, node string"), **limits)
     got = under_roots(h, spark.createDataFrame([(r,) for r in roots], "root string"))
     return h, {tuple(r) for r in got.select("root", "node", "depth").collect()}, {r[0] for r in h.cyclic.collect()}
 
@@ -47,6 +47,7 @@ def test_diamond_cycle_self_link_nulls_and_repeats(spark):
     _, got, cyc = run(spark, edges, roots)
     want, wcyc = brute([e[:2] for e in edges], roots)
     assert got == want
+    assert run(spark, edges, roots, task_links=0)[1:] == (want, wcyc)  # beyond the limit
     assert cyc == wcyc == {"x", "y", "z", "s"}
 
 
