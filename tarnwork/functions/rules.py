@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwork.functions.scalars import frequency_scaled, lookup, split_list
 
@@ -132,7 +133,7 @@ def rule_value(rule: str, values: dict[str, float]) -> float | None:
     return out[0] if out else None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gene_rule(rule: pd.Series, names: pd.Series, levels: pd.Series) -> pd.Series:
     """The rule's value with the row's own names and levels."""
     return pd.Series([rule_value(r, dict(zip(n, v))) if r is not None and n is not None else None for r, n, v in zip(rule, names, levels)], dtype="float64")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z_95 = 1.959963984540054
 
@@ -57,7 +58,7 @@ def shrunk_log_ratio(observed: Column, expected: Column, alpha: float = 0.5) ->
     return F.when((observed >= 0) & (expected >= 0), F.log((observed + alpha) / (expected + alpha)))
 
 
-@F.pandas_udf("lower double, upper double, excess double, information double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("lower", "upper", "excess", "information")]))
 def gamma_interval(observed: pd.Series, expected: pd.Series) -> pd.DataFrame:
     """95 % interval of the log ratio, chance that the ratio exceeds 1 and
     information (one over the trigamma) of a Gamma posterior with half a count
