@@ -32,10 +32,14 @@ ATERM = "".join(regex.findall(r"\p{Sentence_Break=ATerm}", _ALL))
 CLOSE = "".join(c for c in regex.findall(r"[\p{Sentence_Break=Close}&&[\p{Pe}\p{Pf}\p{Pi}\p{Po}]]", _ALL, flags=regex.V1)) + "]"
 del _ALL
 _FULL = set("。！？｡．")
+#: Marks that may follow a terminator within its sentence.
+_AFTER = frozenset(CLOSE) - set("«「『“„([（")
 _ELLIPSIS = "…‥"
 
-#: A full stop within a figure, a word or an address is no terminator.
-_TERM = re.compile(rf"(?!(?<=[\x00-\x7f])\.[0-9a-z])[{re.escape(STERM + ATERM + _ELLIPSIS)}]+")
+#: A full stop within a figure, a word or an address is no terminator. The
+#: class stands first, so that the scan skips other characters at C speed.
+_MARKS = re.escape(STERM + ATERM + _ELLIPSIS)
+_TERM = re.compile(rf"[{_MARKS}](?:(?<!\.)|(?![0-9a-z])|(?<=[^\x00-\x7f]\.))[{_MARKS}]*")
 _BREAKS = re.compile(r"\r\n|[\n\r\u0085  \x0b\x0c]")
 _WORD_BEFORE = re.compile(r"[^\s\"“”«»„「」『』（(\[]*$")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])[  　]+(?=[฀-๿])|(?<=[฀-๿]) +(?=[A-ZÀ-ÞА-Я][^\W\d_]* )")
@@ -113,7 +117,11 @@ def quote_spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
 
 def _suppressed(text: str, cur: int, t: int, nxt: str) -> bool:
     """The full stop at ``t`` belongs to an abbreviation, initial or ordinal."""
-    m = _WORD_BEFORE.search(text, max(cur, t - 24), t)
+    lo = max(cur, t - 24)
+    at = max(text.rfind(" ", lo, t), text.rfind("\n", lo, t)) + 1 or lo
+    if t - at > 12 and text[at:t].isalpha():
+        return False  # too long for an abbreviation
+    m = _WORD_BEFORE.search(text, at, t)
     word = m.group()
     low = word.lower().lstrip("([¿¡'’-–—")
     if not low:
@@ -159,6 +167,7 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool) ->
     qi = 0
     stops: list[int] = []
     skip = -1
+    brackets = text.find("(", a, b) >= 0
     for m in _TERM.finditer(text, cur, b):
         t, e = m.span()
         if t < skip:
@@ -166,6 +175,14 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool) ->
         run = m.group()
         dot = run == "."
         nc = text[e] if e < b else ""
+        if dot and nc == " " and not spans and e + 1 < b and "A" <= text[e + 1] <= "Z" and (not brackets or text.rfind("(", cur, t) <= text.rfind(")", cur, t)):
+            # the common case: a full word before, one blank and a capital after
+            word = text[max(text.rfind(" ", cur, t) + 1, cur) : t]
+            if len(word) > 2 and word.isascii() and word.isalpha() and word.islower() and word not in _NEVER and word not in _FIGURE:
+                stops.append(e)
+                out.append((cur, e))
+                cur = skip = e + 1
+                continue
         if dot and nc:
             # inside a number, a word, an address
             if nc.isalnum() and not nc.isupper() and (text[t - 1 : t].isascii() or nc.isdigit()):
@@ -181,11 +198,11 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool) ->
                 continue  # more follows within the quotation
             alone, quoted, e = qs <= cur, True, qe
         k = e
-        while k < b and text[k] in CLOSE and text[k] not in "«「『“„([（":
-            if text[k] in _OPEN and _OPEN[text[k]] and any(s == k for s, _ in spans):
+        while k < b and text[k] in _AFTER:
+            if spans and text[k] in _OPEN and _OPEN[text[k]] and any(s == k for s, _ in spans):
                 break
             k += 1
-        if (o := text.rfind("(", cur, t)) >= 0 and text.rfind(")", o, t) < 0 and 0 <= text.find(")", k, min(b, k + 200)):
+        if brackets and (o := text.rfind("(", cur, t)) >= 0 and text.rfind(")", o, t) < 0 and 0 <= text.find(")", k, min(b, k + 200)):
             continue  # within brackets
         e = k
         while k < b and text[k].isspace():
@@ -197,12 +214,15 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool) ->
         while p > cur and not text[p].isalnum():
             p -= 1
         prev = text[p] if p >= cur else ""
-        while p > cur and not text[p].isalpha() and p > t - 16:
-            p -= 1
-        cased = _cased(text[p]) if text[p].isalpha() else prev.isdigit()
-        full = any(c in _FULL for c in run)
-        upper = _begins_upper(text, k, b)
-        lower = nxt.islower() and not upper
+        if "a" <= prev <= "z":
+            cased = True
+        else:
+            while p > cur and not text[p].isalpha() and p > t - 16:
+                p -= 1
+            cased = _cased(text[p]) if text[p].isalpha() else prev.isdigit()
+        full = not dot and any(c in _FULL for c in run)
+        upper = nxt.isupper() or _begins_upper(text, k, b)
+        lower = not upper and nxt.islower()
         if quoted:
             # a quotation alone is a unit; one within a sentence ends it only before a new start
             if nxt in ",;:，、；：—–-)":
@@ -217,9 +237,6 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool) ->
         elif full:
             if nxt in "，、；：）)":
                 continue
-        elif set(run) <= set(_ELLIPSIS) or (len(run) > 1 and set(run) == {"."}):
-            if not (upper and cased):
-                continue
         elif dot:
             if "ऀ" <= prev <= "෿" or "฀" <= prev <= "໿":
                 continue  # scripts whose sentences do not end in a full stop
@@ -238,6 +255,9 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool) ->
                 continue  # the number of a list entry or heading
             if _suppressed(text, cur, t, nxt):
                 continue
+        elif not run.strip(_ELLIPSIS + "."):
+            if not (upper and cased):
+                continue
         else:
             if nxt in ",;:)" or (not gap and nxt.isascii() and nxt.isalnum() and not upper and cased):
                 continue
