@@ -296,13 +296,13 @@ def _hard(p: str, n: str, wrapped: bool) -> bool:
     tail = p.rstrip(CLOSE + "\"'") or p
     if tail[-1] in STERM + ATERM:
         return not wrapped and not tail.endswith(".") or bool(_THAI.match(tail[-1]))
-    if n[0] == "(" or (n[0].isdigit() and len(p.split()) > 1 and not _heading(p, n) and (not p[-1].isalpha() or _cased(p[-1]))):
+    letter = next((c for c in reversed(p) if c.isalpha()), "")
+    if n[0] == "(" or (n[0].isdigit() and len(p.split()) > 1 and letter and _cased(letter) and not _heading(p, n)):
         return False
     if (last == ":" or last == "：") and n[0].islower() and not _begins_upper(n, 0, len(n)):
         return False
     if last == ":" or last == "：":
         return not wrapped or n[0] not in _OPEN
-    letter = next((c for c in reversed(p) if c.isalpha()), "")
     if letter and not _cased(letter):
         return True
     if n[0].islower() and not _begins_upper(n, 0, len(n)):
