@@ -4,8 +4,8 @@ Method: a BK-tree over the list's words under the Levenshtein distance, a true
 metric, so the triangle inequality prunes without losing an entry within the
 radius. Whole batches of words descend the tree together, each node's
 distances to the batch being computed bit-parallel (Myers 1999). What the tree
-returns is ranked by the optimal string alignment distance, which counts a
-swap of neighbours as one slip, and by a sound-alike distance. The list is
+returns is ranked by the Damerau-Levenshtein distance, which counts a swap as
+one slip, then by the length of what it explains and a sound-alike distance. The list is
 held in shards of at most ``shard`` entries; each shard gives its best entry
 and the shards' winners merge, so a list of any length is searched whole.
 
@@ -58,18 +58,24 @@ def sound(word: str) -> str:
 
 
 def alignment_distance(a: str, b: str) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours."""
-    older: list[int] = []
-    old = list(range(len(b) + 1))
+    """The unrestricted Damerau-Levenshtein distance, a true metric:
+    insertions, deletions, substitutions and swaps, the letters of a swap
+    possibly with others put in or left out between them."""
+    top = len(a) + len(b)
+    last: dict[str, int] = {}
+    rows = [[top] * (len(b) + 2), [top, *range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
-        new = [i]
+        new, seen = [top, i], 0
+        before = rows[i]
         for j, y in enumerate(b, 1):
-            d = min(old[j] + 1, new[-1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            new.append(d)
-        older, old = old, new
-    return old[-1]
+            k, m = last.get(y, 0), seen
+            cost = x != y
+            if not cost:
+                seen = j
+            new.append(min(before[j] + cost, new[j] + 1, before[j + 1] + 1, rows[k][m] + (i - k - 1) + 1 + (j - m - 1)))
+        last[x] = i
+        rows.append(new)
+    return rows[-1][-1]
 
 
 class WordBatch:
@@ -166,9 +172,9 @@ class Matcher:
         self.tree = BKTree(list(self.by_head))
         self.memo: dict[str, tuple[int, int] | None] = {}
 
-    def _pick(self, heads: list[tuple[tuple[int, int], str]], tokens: list[str]) -> tuple[int, int] | None:
+    def _pick(self, heads: list[tuple[tuple[int, int, int], str]], tokens: list[str]) -> tuple[int, int] | None:
         """(slips, key) of the closest head's most specific entry whose qualifiers are there."""
-        best: tuple[tuple[int, int], int, int] | None = None
+        best: tuple[tuple[int, int, int], int, int] | None = None
         for score, head in heads:
             for key, rest in self.by_head[head]:
                 if all(any(t == q or (len(q) > 4 and alignment_distance(t, q) <= 1) for t in tokens) for q in rest):
@@ -190,7 +196,7 @@ class Matcher:
             exact = [t for t in tokens if t in self.by_head] or [t for t in joined + three if t in self.by_head]
             if not exact:
                 exact = [h for t in [*tokens, *joined] for h in sorted(self.codes.get(t, ())) if len(self.codes[t]) == 1]
-            got = self._pick([((0, 0), h) for h in exact], tokens) if exact else None
+            got = self._pick([((0, 0, 0), h) for h in exact], tokens) if exact else None
             if got:
                 out[v] = got
                 continue
@@ -198,7 +204,7 @@ class Matcher:
             hard.append((v, tokens, windows))
             out[v] = None
         words = list(dict.fromkeys(w for _, _, ws in hard for w in ws))
-        near: dict[str, list[tuple[tuple[int, int], str]]] = {}
+        near: dict[str, list[tuple[tuple[int, int, int], str]]] = {}
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             for w, heads in zip(part, self.tree.within(part, RADIUS)):
@@ -210,7 +216,7 @@ class Matcher:
                     if d <= SOUND_SLIPS:
                         s = alignment_distance(sound(w), sound(h))
                         if d <= allowed or (n >= SOUND_LENGTH and s <= 1):
-                            good.append(((min(d, s + (d > allowed) * 2) if s < d else d, s), h))
+                            good.append(((d, -len(w), s), h))
                 if good:
                     near[w] = good
         for v, tokens, windows in hard:
