@@ -7,9 +7,10 @@ are alike, so the driver holds one row per distinct size (at most the square
 root of twice the number of records), and the blocks themselves are matched to
 the outcome by their exact position among the blocks of their size.
 
-Defined results: a record without any key is a block of its own; null, blank
-and placeholder keys link nothing; splits of equal need are taken in the order
-given.
+Defined results: a record without any link is a block of its own; null links
+link nothing (blanks and placeholders are to be null); a record with a null
+key cannot be named and gives no row; repeated records give repeated rows;
+splits of equal need are taken in the order given.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def blocks(df: DataFrame, key: str, links: list[str], ws: Workspace) -> DataFram
     columns with normalised ids; records that share a value of one of them
     belong together."""
     tagged = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{i}|"), F.col(c).cast("string"))) for i, c in enumerate(links)]
-    base = ws.cut(df.select(F.col(key).alias("key"), *(t.alias(f"k{i}") for i, t in enumerate(tagged))))
+    base = ws.cut(df.select(F.col(key).alias("key"), *(t.alias(f"k{i}") for i, t in enumerate(tagged))).where("key is not null"))
     ks = [f"k{i}" for i in range(len(links))]
     pairs = [base.select(F.col(a).alias("a"), F.col(b).alias("b")).where(f"{a} is not null and {b} is not null").distinct() for i, a in enumerate(ks) for b in ks[i + 1 :]]
     rooted = base.withColumn("node", F.coalesce(*ks, F.concat(F.lit("own|"), F.col("key").cast("string"))))

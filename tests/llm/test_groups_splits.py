@@ -63,6 +63,8 @@ def test_blocks_and_split(spark):
     split = grouped_split(df, "id", ["p", "g"], {"train": 0.8, "validation": 0.1, "test": 0.1}).collect()
     assert len(split) == 400 and {r["id"]: r["first"] for r in split} == got
     assert all(len({r["split"] for r in split if r["first"] == f}) == 1 for f in set(got.values()))
+    odd = spark.createDataFrame([(None, "p", None), (1, "p", None), (1, "p", None), (2, None, None), (3, None, "p")], "id long, p string, g string")
+    assert sorted((r["id"], r["first"]) for r in grouped_split(odd, "id", ["p", "g"], {"a": 0.5, "b": 0.5}).collect()) == [(1, 1), (1, 1), (2, 2), (3, 3)]
     assert grouped_split(df.limit(0), "id", ["p", "g"], {"a": 1.0}).count() == 0
 
 
