@@ -99,8 +99,7 @@ def summary_counts(df: DataFrame, dims: list[str]) -> DataFrame:
     sets = ", ".join([*(f"(`{d}`)" for d in dims), "()"])
     name = "CASE " + " ".join(f"WHEN grouping(`{d}`) = 0 THEN '{d}'" for d in dims) + " ELSE 'total' END"
     val = "CASE " + " ".join(f"WHEN grouping(`{d}`) = 0 THEN coalesce(cast(`{d}` AS string), '<null>')" for d in dims) + " ELSE 'all' END"
-    df.createOrReplaceTempView("_summary_input")
-    return df.sparkSession.sql(f"SELECT {name} AS dimension, {val} AS value, count(*) AS n FROM _summary_input GROUP BY {exprs} GROUPING SETS ({sets})")
+    return df.sparkSession.sql(f"SELECT {name} AS dimension, {val} AS value, count(*) AS n FROM {{t}} GROUP BY {exprs} GROUPING SETS ({sets})", t=df)
 
 
 def heavy_values(df: DataFrame, value: str, member: str, least: int, name: str = "n") -> DataFrame:
@@ -141,13 +140,18 @@ def standardised(df: DataFrame, columns: list[str], by: str | None = None) -> Da
     brought into one task.
     """
     keys = [by] if by else []
-    m = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    out = df.join(m, keys) if by else df.join(F.broadcast(m))  # without a group one row
-    return out.select(*[c for c in df.columns if c not in columns], *[F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0), F.lit(0.0)).alias(c) for c in columns])
+    moments = [F.avg(c).alias(f"_m_{c}") for c in columns] + [F.stddev_pop(c).alias(f"_s_{c}") for c in columns]
+    if by:
+        out = df.join(df.groupBy(*keys).agg(*moments), keys)
+        part = F.col
+    else:
+        one = df.agg(F.struct(*moments).alias("_")).scalar()
+        out, part = df, lambda n: one[n]
+    return out.select(*[c for c in df.columns if c not in columns], *[F.coalesce((F.col(c) - part(f"_m_{c}")) / F.when(part(f"_s_{c}") > 0, part(f"_s_{c}")).otherwise(1.0), F.lit(0.0)).alias(c) for c in columns])
 
 
 def trimmed_scale_factor(df: DataFrame, value: str, reference: str, log_trim: float = 0.3, level_trim: float = 0.05) -> DataFrame:
     """Double-trimmed mean of log ratios between a sample and its reference (one row)."""
     r = df.where(f"{value} > 0 and {reference} > 0").select(F.log2(F.col(value) / F.col(reference)).alias("m"), (0.5 * F.log2(F.col(value) * F.col(reference))).alias("a"))
-    q = r.agg(F.percentile("m", log_trim).alias("ml"), F.percentile("m", 1 - log_trim).alias("mh"), F.percentile("a", level_trim).alias("al"), F.percentile("a", 1 - level_trim).alias("ah"))
-    return r.join(F.broadcast(q)).where("m between ml and mh and a between al and ah").agg(F.pow(F.lit(2.0), F.avg("m")).alias("factor"), F.count("*").alias("kept"))
+    q = r.agg(F.struct(F.percentile("m", log_trim).alias("ml"), F.percentile("m", 1 - log_trim).alias("mh"), F.percentile("a", level_trim).alias("al"), F.percentile("a", 1 - level_trim).alias("ah")).alias("_")).scalar()
+    return r.where(F.col("m").between(q["ml"], q["mh"]) & F.col("a").between(q["al"], q["ah"])).agg(F.pow(F.lit(2.0), F.avg("m")).alias("factor"), F.count("*").alias("kept"))

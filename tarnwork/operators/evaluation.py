@@ -76,8 +76,8 @@ def held_out_values(pairs: DataFrame, item: str, value: str, share: float, order
     run = vals.join(n, "_p", "left").withColumn("touched", F.sum(F.coalesce("_n", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     total = F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy())
     run = run.withColumn("_gap", F.abs(F.col("touched") - share * total))
-    best = run.agg(F.min_by("_p", F.struct("_gap", "_p")).alias("_best"))
-    return run.join(F.broadcast(best)).where("_p <= _best").select(value, F.col("_p").alias("position"), "touched")
+    best = run.agg(F.min_by("_p", F.struct("_gap", "_p")).alias("_best")).scalar()
+    return run.where(F.col("_p") <= best).select(value, F.col("_p").alias("position"), "touched")
 
 
 def permuted_within(df: DataFrame, key: str, stratum: str, columns: list[str], seed: int) -> DataFrame:
@@ -144,9 +144,9 @@ def latent_reliability(matrix: DataFrame, item: list[str], source: str, rounds:
             ((F.sum((1 - p) * F.col("negative")) + a - 1) / (F.sum((1 - p) * (F.col("positive") + F.col("negative"))) + a + b - 2)).alias("specificity")))
         clip = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
         se, sp = clip(F.col("sensitivity")), clip(F.col("specificity"))
-        prev = post.agg(clip(F.avg("posterior")).alias("_prev"))
+        prev = post.agg(clip(F.avg("posterior")).alias("_prev")).scalar()
         logit = m.join(rates, source).groupBy(*item).agg(F.sum(F.col("positive") * F.log(se / (1 - sp)) + F.col("negative") * F.log((1 - se) / sp)).alias("_l"))
-        new = ws.cut(logit.join(F.broadcast(prev)).select(*item, (1 / (1 + F.exp(-(F.col("_l") + F.log(F.col("_prev") / (1 - F.col("_prev"))))))).alias("posterior")))
+        new = ws.cut(logit.select(*item, (1 / (1 + F.exp(-(F.col("_l") + F.log(prev / (1 - prev)))))).alias("posterior")))
         ws.drop(post)
         post = new
     return post, rates

@@ -26,7 +26,7 @@ def scored(model, df: DataFrame, features: list[str], name: str, held: str | Non
     """Probability of the class; one feature may be held at its median."""
     full = df.na.fill(0.0, features)
     if held:
-        full = full.withColumn("_held", F.col(held)).join(F.broadcast(full.agg(F.percentile(held, 0.5).alias("_median")))).withColumn(held, F.col("_median"))
+        full = full.withColumn("_held", F.col(held)).withColumn(held, full.agg(F.percentile(held, 0.5).alias("_median")).scalar())
     out = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(full)).withColumn(name, vector_to_array("probability")[1])
     if held:
         out = out.withColumn(held, F.col("_held"))

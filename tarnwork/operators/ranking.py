@@ -87,15 +87,16 @@ def equal_count_bins(df: DataFrame, order: list[Column], bins: int, name: str =
 
     ws = Workspace(df.sparkSession, "bins")
     placed = with_positions(ws, df.orderBy(*order).withColumn("_one", F.lit(0)), {"_pos": ("_one", None)})
-    total = df.agg(F.count("*").alias("_total"))
-    return placed.join(F.broadcast(total)).withColumn(name, F.floor(F.col("_pos") * bins / F.col("_total"))).drop("_one", "_pos", "_total")
+    total = df.agg(F.count("*").alias("_total")).scalar()
+    return placed.withColumn(name, F.floor(F.col("_pos") * bins / total)).drop("_one", "_pos")
 
 
 def quantile_strata(df: DataFrame, value: str, strata: int, name: str = "stratum") -> DataFrame:
     """Number of distinct inner quantile edges not above the value."""
     inner = [i / strata for i in range(1, strata)]
-    edges = df.agg(F.array_distinct(F.percentile(value, inner)).alias("_e"))
-    return df.join(F.broadcast(edges)).withColumn(name, F.size(F.filter("_e", lambda e: e <= F.col(value)))).drop("_e")
+    edges = df.agg(F.percentile(value, inner).alias("_e")).scalar()
+    passed = [(edges[i] <= F.col(value)) & (edges[i] != edges[i - 1] if i else F.lit(True)) for i in range(len(inner))]
+    return df.withColumn(name, sum((F.when(p, 1).otherwise(0) for p in passed), F.lit(0)))
 
 
 def order_statistic_flag(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
@@ -103,8 +104,8 @@ def order_statistic_flag(df: DataFrame, value: str, share: float, name: str) ->
     lv = df.groupBy(value).agg(F.count("*").alias("_n"))
     w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy()
-    cut = lv.select(F.col(value).alias("_cut"), F.sum("_n").over(w).alias("_c"), F.sum("_n").over(total).alias("_t")).where(F.col("_c") > F.floor(F.col("_t") * share)).agg(F.min("_cut").alias("_cut"))
-    return df.join(F.broadcast(cut)).withColumn(name, F.col(value) >= F.col("_cut")).drop("_cut")
+    cut = lv.select(F.col(value).alias("_cut"), F.sum("_n").over(w).alias("_c"), F.sum("_n").over(total).alias("_t")).where(F.col("_c") > F.floor(F.col("_t") * share)).agg(F.min("_cut").alias("_cut")).scalar()
+    return df.withColumn(name, F.col(value) >= cut)
 
 
 def count_label(n: Column, largest: int = 3) -> Column:

@@ -14,8 +14,8 @@ def _counts(spark, d):
     c = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("a"))
     m = c.groupBy("user_id").agg(F.sum("a").alias("u"))
     r = c.groupBy("event_type").agg(F.sum("a").alias("r"))
-    n = c.agg(F.sum("a").alias("n"))
-    return c.join(m, "user_id").join(r, "event_type").join(F.broadcast(n))
+    n = c.agg(F.sum("a").alias("n")).scalar()
+    return c.join(m, "user_id").join(r, "event_type").withColumn("n", n)
 
 
 def t_contingency(spark, d):
