@@ -43,6 +43,12 @@ def v_collapse(spark, d):
     return E.collapse_by_priority(c.join(m, "symptom").where(F.substring("stitch_flat_id", 11, 2) == F.substring("x", 11, 2)), "symptom", "stitch_flat_id", F.coalesce(F.col("chemical_match_method") != "ctd_chemical_name", F.lit(True)))
 
 
+def v_collapse_all(spark, d):
+    """As v_collapse, over all rows with both ids set."""
+    c = _t(spark, d, "ctd_relations").where("stitch_flat_id is not null and chemical_mesh_id is not null").select("symptom", "stitch_flat_id", "chemical_match_method")
+    return E.collapse_by_priority(c, "symptom", "stitch_flat_id", F.coalesce(F.col("chemical_match_method") != "ctd_chemical_name", F.lit(True)))
+
+
 def v_both_keys(spark, d):
     p = _t(spark, d, "target_pairs").select("pair_id", id_key(F.col("left_target_id")).alias("l"), id_key(F.col("right_target_id")).alias("r"))
     return E.both_keys(p, "l", "r", "target").select("pair_id", "target")
@@ -129,7 +135,7 @@ def v_cards(spark, d):
     return E.cards(r, "symptom", [F.col("pubmed_reference_count").desc(), F.col("report_ordinal")], ["perturbation_id", "source", "pubmed_reference_count"], 5)
 
 
-QUERIES = {f.__name__: f for f in (v_label_statements, v_grades, v_prefix_conflicts, v_collapse, v_both_keys, v_mechanisms, v_first_unless_absent, v_arms, v_edge_evidence, v_bulk_citations, v_split_nodes, v_disjoint_parts, v_recurring_pairs, v_unanimous, v_apply_priors, v_balanced, v_correlations, v_best_phrase, v_cards)}
+QUERIES = {f.__name__: f for f in (v_label_statements, v_grades, v_prefix_conflicts, v_collapse, v_collapse_all, v_both_keys, v_mechanisms, v_first_unless_absent, v_arms, v_edge_evidence, v_bulk_citations, v_split_nodes, v_disjoint_parts, v_recurring_pairs, v_unanimous, v_apply_priors, v_balanced, v_correlations, v_best_phrase, v_cards)}
 
 _KEY = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
 _BAD = "('NA','NAN','NONE','NULL','UNASSIGNED','UNKNOWN','NIL','MISSING','UNSPECIFIED','TBD','UNDEFINED','NOTAVAILABLE','NOTAPPLICABLE')"
