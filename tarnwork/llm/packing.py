@@ -2,9 +2,11 @@
 
 Method: bin completion. Around the largest item left, the undominated fillings
 of the rest of the container are enumerated by branch and bound (fuller first,
-branches cut by the waste they can still reach); a best-fit-decreasing solution
-is the incumbent, and the search over fillings is cut by the waste an
-improvement could have. Sizes are whole numbers up to the capacity, so the
+branches cut by the waste they can still reach), and the search goes back over
+them; a best-fit-decreasing solution is the incumbent, and the search over
+fillings is cut by the waste an improvement could have. A search that neither
+proves its result nor reaches the lower bound ends after STEPS branches with
+the best packing found. Sizes are whole numbers up to the capacity, so the
 search runs over the histogram of sizes (at most one row per size), and a
 filling found is used as often as its items last. The items themselves are
 matched to the containers by their exact position among the items of their
@@ -18,7 +20,9 @@ counts as none.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 from tarnwork.operators.positions import with_positions
 from tarnwork.session import Workspace
 
-#: Nodes of one search for fillings.
-FILL_NODES = 400
+#: Branches after which a search whose result is not yet proven ends.
+STEPS = 100_000
 
 
 @dataclass
@@ -38,38 +42,55 @@ class Pattern:
     items: dict[int, int]
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, want: int, nodes: int = FILL_NODES) -> list[tuple[int, ...]]:
-    """The ``want`` fullest undominated fillings of ``room``, fullest first.
+def _sums(counts: dict[int, int], sizes: list[int], room: int) -> list[int]:
+    """For each place in ``sizes`` the sums up to ``room`` that the sizes from there on can make, as bits."""
+    mask, out = (1 << (room + 1)) - 1, [1]
+    for s in reversed(sizes):
+        bits, left, step = out[-1], min(counts[s], room // s), 1
+        while left:
+            step = min(step, left)
+            bits |= (bits << (s * step)) & mask
+            left -= step
+            step *= 2
+        out.append(bits)
+    return out[::-1]
+
+
+def _making(counts: dict[int, int], sizes: list[int], sums: list[int], at: int, need: int) -> Iterator[tuple[int, ...]]:
+    """All ways to make exactly ``need`` from ``sizes[at:]``; no branch without one is entered."""
+    if need == 0:
+        yield ()
+        return
+    while at < len(sizes) and sums[at] >> need & 1:
+        s = sizes[at]
+        for n in range(min(counts[s], need // s), 0, -1):
+            if sums[at + 1] >> (need - n * s) & 1:
+                for rest in _making(counts, sizes, sums, at + 1, need - n * s):
+                    yield (s,) * n + rest
+        at += 1
+
 
-    Depth first, larger sizes first; a branch is cut when even filling it up
-    would not beat the worst filling kept. A filling that leaves room for a
-    size still there is dominated by that with the size added.
+def fillings(counts: dict[int, int], room: int, allowance: Callable[[], int]) -> Iterator[tuple[int, ...]]:
+    """All fillings of ``room`` that waste at most ``allowance()``, fullest first.
+
+    The waste a branch can still reach is known exactly, so none is entered
+    that leads to no filling. A filling that leaves room for a size still there
+    is dominated by that with the size added. ``counts`` may change between
+    two fillings, if it is again as before when the next is asked for.
     """
-    best: list[tuple[int, int, tuple[int, ...]]] = []  # waste, number of items, sizes
-    left = nodes
-
-    def walk(at: int, free: int, chosen: list[int]) -> bool:
-        nonlocal left
-        left -= 1
-        fits = False
-        k = at
-        while k < len(sizes):
-            s = sizes[k]
-            if s <= free and chosen.count(s) < counts[s]:
-                fits = True
-                if walk(k, free - s, [*chosen, s]) or left <= 0:
-                    return True
-            k += 1
-            # what is left are smaller sizes: with none small enough this is a leaf
-        if not fits:
-            best.append((free, len(chosen), tuple(chosen)))
-            best.sort()
-            del best[want:]
-            return best[0][0] == 0 and len(best) == want
-        return False
-
-    walk(0, room, [])
-    return [b[2] for b in best] or [()]
+    first = _exact(counts, room) if room else ()
+    if first is not None:
+        yield first
+    sizes = _available(counts, room)
+    sums = _sums(counts, sizes, room)
+    waste = 0
+    while waste <= min(room, allowance()):
+        for got in _making(counts, sizes, sums, 0, room - waste) if sums[0] >> (room - waste) & 1 else ():
+            if waste > allowance():
+                return
+            if got != first and all(got.count(s) == counts[s] for s in sizes if s <= waste):
+                yield got
+        waste += 1
 
 
 def _available(counts: dict[int, int], room: int) -> list[int]:
@@ -95,27 +116,87 @@ def _exact(counts: dict[int, int], room: int) -> tuple[int, ...] | None:
     return None
 
 
-def complete(histogram: dict[int, int], capacity: int, choice: int = 0) -> list[Pattern]:
-    """Bin completion, taking the ``choice``-th best filling each time (0: the fullest)."""
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Containers that any packing needs: items above capacity - k stand without
+    those of at least k, items above half the capacity without each other."""
+    number = list(accumulate(histogram.get(s, 0) for s in range(capacity + 1)))
+    total = list(accumulate(s * histogram.get(s, 0) for s in range(capacity + 1)))
+    middle = capacity // 2
+    best = -(-total[-1] // capacity)
+    for k in range(middle + 1):
+        half = number[capacity - k] - number[middle]
+        free = capacity * half - (total[capacity - k] - total[middle])
+        rest = total[middle] - (total[k - 1] if k else 0)
+        best = max(best, number[-1] - number[middle] + max(0, -(-(rest - free) // capacity)))
+    return best
+
+
+def search(histogram: dict[int, int], capacity: int, incumbent: list[Pattern] | None = None, steps: int = STEPS) -> tuple[list[Pattern], bool]:
+    """The best packing found and whether none can be better.
+
+    Around the largest size left, every undominated filling and every number
+    of containers alike is a branch, fullest first and as often as its items
+    last. A branch is cut once its waste is beyond what a packing better than
+    the incumbent can have. After ``steps`` branches it ends unproven.
+    """
     counts = dict(histogram)
-    out: list[Pattern] = []
-    for size in sorted(histogram, reverse=True):
-        while counts[size]:
-            counts[size] -= 1
-            room = capacity - size
-            got = _exact(counts, room) if room and choice == 0 else None
-            if got is None:
-                options = fillings(counts, _available(counts, room), room, choice + 1) if room else [()]
-                got = options[min(choice, len(options) - 1)]
+    order = sorted(histogram, reverse=True)
+    total = sum(s * n for s, n in histogram.items())
+    bound = lower_bound(histogram, capacity)
+    best, fewest = incumbent, sum(p.times for p in incumbent) if incumbent is not None else None
+    taken: list[Pattern] = []
+    wasted = used = 0
+    allowed = lambda: capacity if fewest is None else (fewest - 1) * capacity - total - wasted
+
+    def change(p: Pattern, sign: int) -> None:
+        nonlocal wasted, used
+        for s, n in p.items.items():
+            counts[s] -= sign * n * p.times
+        wasted += sign * p.times * (capacity - sum(s * n for s, n in p.items.items()))
+        used += sign * p.times
+
+    def branch(at: int, last: dict[int, int] | None) -> Iterator[Pattern]:
+        size = order[at]
+        counts[size] -= 1  # only while the fillings are looked for
+        options = fillings(counts, capacity - size, allowed)
+        while True:
+            got = next(options, None)
             counts[size] += 1
-            items: dict[int, int] = {size: 1}
+            if got is None:
+                return
+            items = {size: 1}
             for s in got:
                 items[s] = items.get(s, 0) + 1
-            times = min(counts[s] // n for s, n in items.items())
-            for s, n in items.items():
-                counts[s] -= n * times
-            out.append(Pattern(times, items))
-    return out
+            waste = capacity - sum(s * n for s, n in items.items())
+            # the filling just used is a branch of its own with one container more
+            for times in range(min(counts[s] // n for s, n in items.items()), 0, -1) if items != last else ():
+                if waste * times <= allowed() or fewest is None:
+                    yield Pattern(times, items)
+            counts[size] -= 1
+
+    stack: list[tuple[int, Iterator[Pattern]]] = [(0, branch(0, None))] if order else []
+    while stack:
+        at, options = stack[-1]
+        if len(taken) == len(stack):
+            change(taken.pop(), -1)
+        if fewest is not None and steps <= 0:
+            return best or [], False
+        steps -= 1
+        p = next(options, None)
+        if p is None:
+            stack.pop()
+            continue
+        taken.append(p)
+        change(p, 1)
+        while at < len(order) and not counts[order[at]]:
+            at += 1
+        if at < len(order):
+            stack.append((at, branch(at, p.items)))
+        elif fewest is None or used < fewest:
+            best, fewest = list(taken), used
+            if fewest <= bound:
+                break
+    return best or [], True
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
@@ -159,23 +240,20 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     return out
 
 
+def complete(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Bin completion without an incumbent."""
+    return search(histogram, capacity)[0]
+
+
 def solve(histogram: dict[int, int], capacity: int) -> list[Pattern]:
-    """The better of the incumbent and bin completion; further fillings are
-    tried only where the incumbent is above the lower bound."""
+    """The better of the incumbent and bin completion, which is tried only where
+    the incumbent is above the lower bound."""
     if not histogram:
         return []
-    bins = lambda p: sum(x.times for x in p)
-    total = sum(s * n for s, n in histogram.items())
-    large = sum(n for s, n in histogram.items() if 2 * s > capacity)
-    bound = max(-(-total // capacity), large)
     best = best_fit(histogram, capacity)
-    for choice in range(3):
-        if bins(best) <= bound:
-            break
-        got = complete(histogram, capacity, choice)
-        if bins(got) < bins(best):
-            best = got
-    return best
+    if sum(p.times for p in best) <= lower_bound(histogram, capacity):
+        return best
+    return search(histogram, capacity, best)[0]
 
 
 def pack(items: DataFrame, key: str, size: str, capacities: list[int]) -> DataFrame:
