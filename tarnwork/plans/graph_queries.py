@@ -47,6 +47,12 @@ def g_clusters(spark, d):
     return G.clusters_by_attributes(r, "perturbation_id", "source_term_id", 3)
 
 
+def g_clusters_all(spark, d):
+    """As g_clusters, with the reference's limit: attributes of 20 or more members link nothing."""
+    r = _t(spark, d, "reports").where("perturbation_type = 'gene'").select("perturbation_id", "source_term_id").where("perturbation_id is not null")
+    return G.clusters_by_attributes(r, "perturbation_id", "source_term_id", 20)
+
+
 def g_reach(spark, d):
     n = _t(spark, d, "fine_constructs").select(hpo_id(F.col("hpo_id")).alias("seed")).where("seed is not null").distinct()
     return G.reach(_down(spark, d), n, 3)
@@ -104,7 +110,7 @@ def g_overlaps(spark, d):
     return G.set_overlaps(t, "p", "t").withColumn("jaccard", F.round("jaccard", 6))
 
 
-QUERIES = {f.__name__: f for f in (g_degrees, g_reciprocity, g_duplicates, g_components, g_largest_share, g_clusters, g_reach, g_closure_without, g_adjacency, g_walk, g_propagated_max, g_widest, g_relation_adjacency, g_spectral_radius, g_complex_members, g_rewired, g_overlaps)}
+QUERIES = {f.__name__: f for f in (g_degrees, g_reciprocity, g_duplicates, g_components, g_largest_share, g_clusters, g_clusters_all, g_reach, g_closure_without, g_adjacency, g_walk, g_propagated_max, g_widest, g_relation_adjacency, g_spectral_radius, g_complex_members, g_rewired, g_overlaps)}
 
 _KEY = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
 _BAD = "('NA','NAN','NONE','NULL','UNASSIGNED','UNKNOWN','NIL','MISSING','UNSPECIFIED','TBD','UNDEFINED','NOTAVAILABLE','NOTAPPLICABLE')"
