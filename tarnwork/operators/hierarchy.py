@@ -280,14 +280,53 @@ def under_roots(h: Hierarchy, roots: DataFrame) -> DataFrame:
     return reach.join(seg, "chain").where("off <= top").groupBy("root", "node").agg(F.min(F.col("base") + F.col("depth")).alias("depth"))
 
 
+def _forest_steps(h: Hierarchy) -> DataFrame:
+    """(node, steps): each node's way down the forest, chain prefixes joined from the top."""
+    prefix = h.nodes.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("off", "node"))).alias("members"), F.min("depth").alias("start"))
+    parts = h.segments.join(prefix, "chain").select("node", "start", F.expr("slice(members, 1, cast(top as int) + 1).node").alias("part"))
+    return parts.groupBy("node").agg(F.flatten(F.expr("transform(sort_array(collect_list(struct(start, part))), x -> x.part)")).alias("steps"))
+
+
+def rooted_paths(h: Hierarchy, roots: DataFrame) -> DataFrame:
+    """(root, node, depth, steps): as ``under_roots``, with the nodes of one way
+    of the fewest links, from the root to the node; equal ways by the smallest."""
+    ws = h.ws
+    steps = ws.cut(_forest_steps(h))
+    info = h.nodes.select(F.col("node").alias("portal"), "chain", "off", F.col("depth").cast("int").alias("pdepth"))
+    tops = ws.cut(roots.select(F.col("root").cast("string")).where("root is not null").distinct().join(h.nodes.select(F.col("node").alias("root")), "root", "left_semi"))
+    portals = ws.cut(tops.select(F.col("root").alias("portal")).union(h.extra.select("child")).distinct().join(info, "portal"))
+    seg = h.segments
+    # the part of a hop are the nodes from the portal to the parent end of the extra link
+    ends = h.extra.select(F.col("child").alias("to"), F.col("parent").alias("node")).join(seg, "node")
+    hops = ends.join(portals, "chain").where("off <= top").groupBy("portal", "to", "pdepth").agg(F.min(F.struct((F.col("depth") - F.col("pdepth") + 1).cast("int").alias("w"), "node")).alias("x"))
+    hops = ws.cut(hops.select("portal", "to", "pdepth", "x.w", "x.node").join(steps, "node").select("portal", "to", "w", F.slice("steps", F.col("pdepth") + 1, F.col("w")).alias("part")))
+    best = ws.cut(tops.select("root", F.col("root").alias("portal"), F.lit(0).alias("d"), F.array().cast("array<string>").alias("way")))
+    front = best
+    while True:
+        sent = front.join(hops, "portal").groupBy("root", F.col("to").alias("portal")).agg(F.min(F.struct((F.col("d") + F.col("w")).alias("d"), F.concat("way", "part").alias("way"))).alias("x")).select("root", "portal", "x.d", "x.way")
+        had = best.select("root", "portal", F.col("d").alias("had"))
+        front = ws.cut(sent.join(had, ["root", "portal"], "left").where("had is null or d < had").select("root", "portal", "d", "way"))
+        if is_empty(front):
+            break
+        new = ws.cut(best.unionByName(front).groupBy("root", "portal").agg(F.min(F.struct("d", "way")).alias("x")).select("root", "portal", "x.d", "x.way"))
+        best = new
+    reach = best.join(portals, "portal").select("root", "chain", "off", "pdepth", "d", "way")
+    found = reach.join(seg, "chain").where("off <= top").groupBy("root", "node").agg(F.min(F.struct((F.col("d") + F.col("depth") - F.col("pdepth")).alias("depth"), "way", "pdepth")).alias("x"))
+    return found.select("root", "node", "x.depth", "x.way", "x.pdepth").join(steps, "node").select(
+        "root", "node", "depth", F.concat("way", F.slice("steps", F.col("pdepth") + 1, F.size("steps") - F.col("pdepth"))).alias("steps")
+    )
+
+
+def descendants(h: Hierarchy) -> DataFrame:
+    """(node, size): nodes at or below each node over all links, itself included."""
+    return under_roots(h, h.nodes.select(F.col("node").alias("root"))).groupBy(F.col("root").alias("node")).agg(F.count("*").alias("size"))
+
+
 def forest_paths(h: Hierarchy, sep: str = " > ") -> DataFrame:
     """One row per node: its root, depth, subtree size and path in the forest,
     the path being chain prefixes joined from the top down."""
-    prefix = h.nodes.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("off", "node"))).alias("members"), F.min("depth").alias("start"))
-    parts = h.segments.join(prefix, "chain").select("node", "start", F.expr("slice(members, 1, cast(top as int) + 1).node").alias("part"))
-    paths = parts.groupBy("node").agg(F.flatten(F.expr("transform(sort_array(collect_list(struct(start, part))), x -> x.part)")).alias("steps"))
     return (
-        h.nodes.join(paths, "node")
+        h.nodes.join(_forest_steps(h), "node")
         .join(h.cyclic.withColumn("cyc", F.lit(True)), "node", "left")
         .select("node", "root", "depth", "size", F.array_join("steps", sep).alias("path"), F.coalesce("cyc", F.lit(False)).alias("own_ancestor"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.ids import hpo_id
-from tarnwork.operators.hierarchy import Hierarchy, build_hierarchy, forest_paths, under_roots
+from tarnwork.operators.hierarchy import Hierarchy, build_hierarchy, descendants, rooted_paths, under_roots
 
 
 def _hierarchy(spark: SparkSession, d: str) -> Hierarchy:
@@ -25,9 +25,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every term's path, depth, root and number of descendants in the forest."""
-    return forest_paths(_hierarchy(spark, d)).select(
-        F.col("node").alias("term_id"), F.col("root").alias("root_id"), "depth", F.col("size").alias("subtree_size"), "path", "own_ancestor"
+    """Every term under each of its roots: path and depth by the fewest links,
+    and the number of terms at or below it over all links. Roots are those of
+    p1_found and, so that no term is lost, the terms of a circle that nothing
+    outside it is above."""
+    h = _hierarchy(spark, d)
+    named = spark.read.parquet(f"{d}/fine_constructs.parquet").select(hpo_id(F.col("hpo_id")).alias("root"))
+    paths = rooted_paths(h, h.nodes.where("up is null").select(F.col("node").alias("root")).union(named))
+    own = h.cyclic.select("node", F.lit(True).alias("own"))
+    return paths.join(descendants(h), "node").join(own, "node", "left").select(
+        F.col("node").alias("term_id"), F.col("root").alias("root_id"), "depth", F.col("size").alias("subtree_size"), F.array_join("steps", " > ").alias("path"), F.coalesce("own", F.lit(False)).alias("own_ancestor")
     )
 
 
