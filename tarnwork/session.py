@@ -11,8 +11,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "tarnwork", cores: str = "*", **conf: str) -> SparkSession:
@@ -35,29 +37,36 @@ def local_session(app: str = "tarnwork", cores: str = "*", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set."""
+    """The folder all executors share. A local one is used only where none is
+    set and the master is local; a cluster without a shared folder is an error."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = os.environ.get("TARNWORK_LOCAL_DIR") or os.path.join(tempfile.gettempdir(), "tarnwork-shared")
     os.makedirs(own, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
 class Workspace:
     """Written tables of one operator run.
 
-    ``cut`` writes a frame and returns it read back; ``drop`` removes tables
-    that a later one has replaced. What is still there when the driver ends is
-    removed then, since lazily returned results read from it.
+    ``cut`` writes a frame and returns it read back, ``measured`` does so and
+    returns figures observed while writing, so that a loop learns without a
+    further job whether anything is left. ``drop`` removes tables that a later
+    one has replaced; a frame derived from a table is no table. What is still
+    there when the driver ends is removed then, since lazily returned results
+    read from it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        #: path -> the frame read from it, which is kept alive so that it stays itself
+        self._held: dict[str, DataFrame] = {}
         atexit.register(self._remove, self.root)
 
     def _remove(self, path: str) -> None:
@@ -73,13 +82,24 @@ class Workspace:
         path = f"{self.root}/t{self._n}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
+        self._held[path] = back
         return back
 
+    def measured(self, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, Any]]:
+        """``cut``, and the number of rows ``n`` with the given aggregates."""
+        seen = Observation()
+        back = self.cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in figures.items())))
+        return back, seen.get
+
     def drop(self, *frames: DataFrame | None) -> None:
-        for f in frames:
-            if f is not None and (p := self._paths.pop(id(f), None)):
-                self._remove(p)
+        for path in [p for p, held in self._held.items() if any(f is held for f in frames)]:
+            del self._held[path]
+            self._remove(path)
+
+    @property
+    def tables(self) -> int:
+        """Tables that are still there."""
+        return len(self._held)
 
 
 def is_empty(df: DataFrame) -> bool:
