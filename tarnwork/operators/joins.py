@@ -55,6 +55,14 @@ def precedence_join(base: DataFrame, routes: list[tuple[str, Column, DataFrame]]
     return out.withColumn(value, picked["v"]).withColumn(f"{value}_route", F.coalesce(picked["r"], F.lit("none"))).drop(*drop)
 
 
+def salted_left_join(df: DataFrame, few: DataFrame, on: str, by: Column, salts: int = 8) -> DataFrame:
+    """Left join with ``few``, which holds each key once and small shares of
+    them: its rows are copied to ``salts`` keys, over which the rows of a hot
+    key of ``df`` spread by the hash of ``by``."""
+    many = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts))).join(many, [on, "_salt"], "left").drop("_salt")
+
+
 def fill_union(frames: list[DataFrame], fill: dict[str, object] | None = None) -> DataFrame:
     """Union by name; columns a frame lacks are null or take their fill value."""
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -33,4 +33,4 @@ def test_paths_cover_every_root(spark):
     for r in got:
         s = r["steps"]
         assert s[0] == r["root"] and s[-1] == r["node"] and len(s) == r["depth"] + 1 and all(b in below[a] for a, b in zip(s, s[1:]))
-    assert {r["node"]: r["size"] for r in descendants(h).collect()} == {n: len(reached(n)) for n in known}
+    assert {tuple(r) for r in descendants(h).collect()} == {(r, n, k) for r in known for n, k in reached(r).items()}
