@@ -100,7 +100,7 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every target of either table with its group's smallest id."""
     edges = _target_edges(spark, d)
     roots = boruvka_groups(edges)
-    t = roots.where("node like 'T|%'").select(F.substring("node", 3, 1000).alias("target_chembl_id"), "root")
+    t = roots.where("node like 'T|%'").select(F.expr("substring(node, 3)").alias("target_chembl_id"), "root")
     names = t.groupBy("root").agg(F.min("target_chembl_id").alias("group_target_id"))
     linked = t.join(names, "root").select("group_target_id", "target_chembl_id")
     every = _read(spark, d, "drug_targets").select(F.col("target_chembl_id").alias("t"))

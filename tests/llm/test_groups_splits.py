@@ -45,8 +45,23 @@ def test_both_ways_equal_brute_force(spark):
         df = spark.createDataFrame([(a, b, 1) for a, b in edges], "a string, b string, node int").repartition(5)
         want = components(edges)
         assert grouped(boruvka_groups(df)) == want
-        assert grouped(forest_groups(df, fan_in=2)) == want
-        assert grouped(forest_groups(df, task_limit=1)) == want  # beyond the limit: hooking finishes
+        assert grouped(forest_groups(df)) == want
+        assert grouped(forest_groups(df, task_limit=7)) == want  # many ranges
+
+
+def test_tables_of_earlier_rounds_are_freed(spark):
+    df = spark.createDataFrame([(f"p{i:03d}", f"p{i + 1:03d}") for i in range(60)], "a string, b string")
+    for way in (boruvka_groups, forest_groups):
+        ws = Workspace(spark, "freed")
+        assert grouped(way(df, ws=ws)) == {frozenset(f"p{i:03d}" for i in range(61))}
+        assert ws.tables <= 2
+
+
+def test_ids_of_any_length_stay_apart(spark):
+    long = "x" * 2000
+    df = spark.createDataFrame([(long + "1", "a"), (long + "2", "b")], "a string, b string")
+    for way in (boruvka_groups, forest_groups):
+        assert grouped(way(df)) == {frozenset({long + "1", "a"}), frozenset({long + "2", "b"})}
 
 
 def test_blocks_and_split(spark):
