@@ -63,6 +63,16 @@ def salted_left_join(df: DataFrame, few: DataFrame, on: str, by: Column, salts:
     return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts))).join(many, [on, "_salt"], "left").drop("_salt")
 
 
+def hot_left_join(df: DataFrame, dim: DataFrame, on: str, hot: DataFrame, by: Column, salts: int = 16) -> DataFrame:
+    """Left join with ``dim``, which holds each key once. The rows of the keys in
+    ``hot`` spread over ``salts`` keys by the hash of ``by``; ``hot`` is broadcast
+    and must be bounded (keys of more than a fixed share of the rows are)."""
+    mark = F.broadcast(hot.select(on, F.lit(True).alias("_hot")))
+    left = df.join(mark, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    right = dim.join(mark, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right, [on, "_salt"], "left").drop("_salt")
+
+
 def fill_union(frames: list[DataFrame], fill: dict[str, object] | None = None) -> DataFrame:
     """Union by name; columns a frame lacks are null or take their fill value."""
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
