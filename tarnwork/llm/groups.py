@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.operators.joins import salted_left_join
+from tarnwork.operators.joins import hot_left_join, salted_left_join
 from tarnwork.session import Workspace
 
-#: A node with more than this share of the edges is hot; there are at most two over the share of them.
+#: A node with more than this share of the edges is hot; there are at most ``2 / HOT_SHARE`` of them.
 HOT_SHARE = 1e-3
 
 
@@ -71,7 +71,8 @@ def boruvka_groups(edges: DataFrame, ws: Workspace | None = None) -> DataFrame:
         new = left
         for end in ("a", "b"):
             other = "b" if end == "a" else "a"
-            new = _relabelled(new, tree, hot, end, other)
+            found = tree.select(F.col("node").alias(end), F.col("up").alias("_up"))
+            new = hot_left_join(new, found, end, hot.withColumnRenamed("node", end), F.col(other)).select(F.col("_up").alias(end), other)
         new, seen = ws.measured(_undirected(new))
         ws.drop(left, hooks)
         left = new
@@ -90,16 +91,6 @@ def boruvka_groups(edges: DataFrame, ws: Workspace | None = None) -> DataFrame:
     return total
 
 
-def _relabelled(left: DataFrame, tree: DataFrame, hot: DataFrame, end: str, other: str, salts: int = 16) -> DataFrame:
-    """``end`` of each edge replaced by its tree's root. Edges of a hot node are
-    spread over ``salts`` keys; ``hot`` has at most ``2 / HOT_SHARE`` rows and is broadcast."""
-    mark = F.broadcast(hot.select(F.col("node").alias(end), F.lit(True).alias("_hot")))
-    e = left.join(mark, end, "left").withColumn("_s", F.when(F.col("_hot"), F.pmod(F.xxhash64(other), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    m = tree.select(F.col("node").alias(end), "up").join(mark, end, "left")
-    m = m.withColumn("_s", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return e.join(m, [end, "_s"]).select(F.col("up").alias(end), other)
-
-
 def _local_forest(own: Callable[[str], int] | None, limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Union-find over one task's edges; gives each node with its tree's root and
     whether it is handed down to another range. Forests of more than ``limit``
