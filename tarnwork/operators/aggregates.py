@@ -110,9 +110,11 @@ def heavy_values(df: DataFrame, value: str, member: str, least: int, name: str =
 def concentration(df: DataFrame, group: str, cluster: str, member: str, top: int) -> DataFrame:
     """Per group: clusters, distinct members and the share of the largest clusters."""
     per = df.groupBy(group, cluster).agg(F.countDistinct(member).alias("_n"))
-    w = Window.partitionBy(group).orderBy(F.col("_n").desc(), cluster)
-    ranked = per.withColumn("_r", F.row_number().over(w))
-    return ranked.groupBy(group).agg(F.count("*").alias("clusters"), F.sum("_n").alias("members"), (F.sum(F.when(F.col("_r") <= top, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("top_share"))
+    # sizes are few: their counts decide how many clusters of each size are among the largest
+    sizes = per.groupBy(group, "_n").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(group).orderBy(F.col("_n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    s = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0))).withColumn("_in", F.least("_k", F.greatest(F.lit(0), F.lit(top) - F.col("_before"))))
+    return s.groupBy(group).agg(F.sum("_k").alias("clusters"), F.sum(F.col("_k") * F.col("_n")).alias("members"), (F.sum(F.col("_in") * F.col("_n")) / F.sum(F.col("_k") * F.col("_n"))).alias("top_share"))
 
 
 def pivot_max(df: DataFrame, key: str, column: str, values: list, value: str) -> DataFrame:

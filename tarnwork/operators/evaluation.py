@@ -9,6 +9,10 @@ from tarnwork.operators.positions import with_positions
 from tarnwork.session import Workspace
 
 
+#: Probabilities stay this far from 0 and 1.
+EPSILON = 1e-6
+
+
 def spread(key: Column, seed: int = 0) -> Column:
     """A number in [0, 2^32) that depends on the key and the seed only, the same in other engines."""
     return F.pmod((key.cast("long") + seed) * F.lit(2654435761).cast("long"), F.lit(4294967296).cast("long"))
@@ -59,34 +63,43 @@ def straddling(df: DataFrame, group: str, inside: str) -> DataFrame:
     return df.groupBy(group).agg(F.min(F.col(inside).cast("int")).alias("_a"), F.max(F.col(inside).cast("int")).alias("_b")).where("_a <> _b").select(group)
 
 
+def ranked_within(df: DataFrame, stratum: str | None, order: list[Column], name: str, weight: str | None = None) -> DataFrame:
+    """Adds a row's position in its stratum by the order (or the sum of weights
+    before it). The table is sorted in ranges and each task numbers its own rows,
+    so a stratum may hold any share of them."""
+    ws = Workspace(df.sparkSession, "ranked")
+    cls = df.withColumn("_cls", F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit(""))
+    return with_positions(ws, cls.orderBy(*order), {name: ("_cls", weight)}).drop("_cls")
+
+
 def drawn_groups(df: DataFrame, stratum: str, group: str, size: str, share: float, order: Column) -> DataFrame:
     """Per stratum the groups, in the given order, until the share is reached."""
-    w = Window.partitionBy(stratum).orderBy(order, group).rowsBetween(Window.unboundedPreceding, -1)
-    t = Window.partitionBy(stratum)
-    return df.withColumn("_c", F.coalesce(F.sum(size).over(w), F.lit(0))).withColumn("_t", F.sum(size).over(t)).where(F.col("_c") < share * F.col("_t")).select(stratum, group, size)
+    run = ranked_within(df.select(stratum, group, size, order.alias("_o")), stratum, [F.col("_o"), F.col(group)], "_c", size)
+    total = df.groupBy(stratum).agg(F.sum(size).alias("_t"))
+    return run.join(total.withColumnRenamed(stratum, "_st"), F.col(stratum).eqNullSafe(F.col("_st"))).where(F.col("_c") < share * F.col("_t")).select(stratum, group, size)
 
 
 def held_out_values(pairs: DataFrame, item: str, value: str, share: float, order: Column) -> DataFrame:
     """The shortest prefix of values, in the given order, that comes closest to
     touching the share of items: (value, position, items so far)."""
-    w = Window.orderBy(order, value)
-    vals = pairs.select(value).distinct().withColumn("_p", F.row_number().over(w))
+    ws = Workspace(pairs.sparkSession, "held")
+    vals = ws.cut(ranked_within(pairs.select(value, order.alias("_o")).distinct(), None, [F.col("_o"), F.col(value)], "_p").select(value, (F.col("_p") + 1).alias("_p")))
     firsts = pairs.join(vals, value).groupBy(item).agg(F.min("_p").alias("_p"))
     n = firsts.groupBy("_p").agg(F.count("*").alias("_n"))
-    run = vals.join(n, "_p", "left").withColumn("touched", F.sum(F.coalesce("_n", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy())
-    run = run.withColumn("_gap", F.abs(F.col("touched") - share * total))
-    best = run.agg(F.min_by("_p", F.struct("_gap", "_p")).alias("_best")).scalar()
+    run = vals.join(n, "_p", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    run = ws.cut(ranked_within(run, None, [F.col("_p")], "_before", "_n").select(value, "_p", (F.col("_before") + F.col("_n")).alias("touched")))
+    total = run.agg(F.max("touched")).scalar()
+    best = run.withColumn("_gap", F.abs(F.col("touched") - share * total)).agg(F.min_by("_p", F.struct("_gap", "_p")).alias("_best")).scalar()
     return run.where(F.col("_p") <= best).select(value, F.col("_p").alias("position"), "touched")
 
 
 def permuted_within(df: DataFrame, key: str, stratum: str, columns: list[str], seed: int) -> DataFrame:
     """The columns moved to other rows of the same stratum: rows by key order
     take the values of rows by hashed order."""
-    a, b = Window.partitionBy(stratum).orderBy(key), Window.partitionBy(stratum).orderBy(spread(F.col(key), seed), key)
-    left = df.drop(*columns).withColumn("_i", F.row_number().over(a))
-    right = df.select(stratum, *columns, F.row_number().over(b).alias("_i"))
-    return left.join(right, [stratum, "_i"]).drop("_i")
+    left = ranked_within(df.drop(*columns), stratum, [F.col(key)], "_i").withColumn("_st", F.col(stratum))
+    right = ranked_within(df.select(key, stratum, *columns), stratum, [spread(F.col(key), seed), F.col(key)], "_i")
+    right = right.select(F.col(stratum).alias("_rt"), *columns, F.col("_i").alias("_ri"))
+    return left.join(right, F.col("_st").eqNullSafe(F.col("_rt")) & (F.col("_i") == F.col("_ri"))).drop("_i", "_ri", "_st", "_rt")
 
 
 def base_rates(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -124,29 +137,76 @@ def class_profiles(df: DataFrame, row: str, dim: str, value: str, cls: str) -> D
     return dots.join(rn, row).join(norm.withColumnRenamed(cls, "class"), "class").select(row, "class", F.when((F.col("_nr") > 0) & (F.col("_nm") > 0), F.col("_d") / (F.col("_nr") * F.col("_nm"))).otherwise(0.0).alias("cosine"))
 
 
-def latent_reliability(matrix: DataFrame, item: list[str], source: str, rounds: int = 20, hits: tuple[float, float] = (8.0, 2.0)) -> tuple[DataFrame, DataFrame]:
-    """Posterior per item and sensitivity/specificity per source by MAP
-    expectation-maximisation over ``matrix`` (item, source, positive, negative).
+def latent_reliability(
+    matrix: DataFrame, item: list[str], source: str, group: str | None = None, rounds: int = 100, hits: tuple[float, float] = (8.0, 2.0), tolerance: float = 1e-6, held: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Posterior per item, sensitivity and specificity per source and prevalence
+    per group by MAP expectation-maximisation over ``matrix`` (item, source,
+    positive, negative, and the item's ``group`` if given).
+
+    Rounds end once no posterior moves by the tolerance. The specificity of the
+    sources in ``held`` stays at the prior's mean; so does that of a source
+    whose rates fall to chance or below, and the fit is run again without it
+    until there is none. The state is one row per item and source and is
+    written every round; an item's rows, one per source, are summed by
+    a window, and the sources' rates join by the optimizer's choice.
 
-    One aggregation per step; the state is written each round. Returns
-    (item..., posterior) and (source, sensitivity, specificity).
+    Returns (item..., posterior), (source, sensitivity, specificity, held) and
+    (group, prevalence).
     """
     ws = Workspace(matrix.sparkSession, "reliability")
-    m = ws.cut(matrix.select(*item, source, "positive", "negative"))
-    post = ws.cut(m.groupBy(*item).agg(((F.sum("positive") + 0.5) / (F.sum("positive") + F.sum("negative") + 1.0)).alias("posterior")))
     a, b = hits
-    rates = None
-    for _ in range(rounds):
-        j = m.join(post, item)
-        p = F.col("posterior")
-        rates = ws.cut(j.groupBy(source).agg(
-            ((F.sum(p * F.col("positive")) + a - 1) / (F.sum(p * (F.col("positive") + F.col("negative"))) + a + b - 2)).alias("sensitivity"),
-            ((F.sum((1 - p) * F.col("negative")) + a - 1) / (F.sum((1 - p) * (F.col("positive") + F.col("negative"))) + a + b - 2)).alias("specificity")))
-        clip = lambda c: F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), c))
-        se, sp = clip(F.col("sensitivity")), clip(F.col("specificity"))
-        prev = post.agg(clip(F.avg("posterior")).alias("_prev")).scalar()
-        logit = m.join(rates, source).groupBy(*item).agg(F.sum(F.col("positive") * F.log(se / (1 - sp)) + F.col("negative") * F.log((1 - se) / sp)).alias("_l"))
-        new = ws.cut(logit.select(*item, (1 / (1 + F.exp(-(F.col("_l") + F.log(prev / (1 - prev)))))).alias("posterior")))
-        ws.drop(post)
-        post = new
-    return post, rates
+    kind = F.col(group).cast("string") if group else F.lit("all")
+    per = Window.partitionBy(*item)
+    pos, neg = F.sum("positive").over(per), F.sum("negative").over(per)
+    clip = lambda c: F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), c))
+    vote = F.when(pos + neg > 0, pos / (pos + neg)).otherwise(0.5)
+    base = ws.cut(matrix.select(*item, F.col(source).alias("_s"), kind.alias("_g"), "positive", "negative", F.count("*").over(per).alias("_k"), clip(vote).alias("_p")))
+    fixed = held.select(F.col(source).alias("_s")).distinct() if held is not None else None
+
+    def rates_of(state: DataFrame) -> DataFrame:
+        p, both = F.col("_p"), F.col("positive") + F.col("negative")
+        r = state.groupBy("_s").agg(
+            clip((F.sum(p * F.col("positive")) + a - 1) / (F.sum(p * both) + a + b - 2)).alias("sensitivity"),
+            clip((F.sum((1 - p) * F.col("negative")) + a - 1) / (F.sum((1 - p) * both) + a + b - 2)).alias("specificity"))
+        if fixed is None:
+            return r.withColumn("held", F.lit(False))
+        r = r.join(fixed.withColumn("_f", F.lit(True)), "_s", "left").withColumn("held", F.coalesce("_f", F.lit(False))).drop("_f")
+        return r.withColumn("specificity", F.when(F.col("held"), clip(F.lit(a / (a + b)))).otherwise(F.col("specificity")))
+
+    def prevalence_of(state: DataFrame) -> DataFrame:
+        return state.groupBy("_g").agg(((F.sum(F.col("_p") / F.col("_k")) + 1) / (F.sum(1 / F.col("_k")) + 2)).alias("prevalence"))
+
+    while True:
+        state, done = base, 0
+        while True:
+            j = state.join(rates_of(state), "_s").join(prevalence_of(state), "_g")
+            se, sp, v = F.col("sensitivity"), F.col("specificity"), F.col("prevalence")
+            told = F.sum(F.col("positive") * F.log(se / (1 - sp)) + F.col("negative") * F.log((1 - se) / sp)).over(per)
+            j = j.withColumn("_new", 1 / (1 + F.exp(-(F.log(v / (1 - v)) + told))))
+            new, seen = ws.measured(j.select(*item, "_s", "_g", "positive", "negative", "_k", F.col("_new").alias("_p"), F.abs(F.col("_new") - F.col("_p")).alias("_moved")), moved=F.max("_moved"))
+            if state is not base:
+                ws.drop(state)
+            state, done = new, done + 1
+            if done >= rounds or (seen["moved"] or 0.0) < tolerance:
+                break
+        rates, seen = ws.measured(rates_of(state), inverted=F.count_if(~F.col("held") & (F.col("sensitivity") + F.col("specificity") <= 1)))
+        if not seen["inverted"]:
+            break
+        fixed = ws.cut(rates.where(F.col("held") | (F.col("sensitivity") + F.col("specificity") <= 1)).select("_s"))
+        ws.drop(rates, state)
+    posterior = state.groupBy(*item).agg(F.max("_p").alias("posterior"))
+    groups = prevalence_of(state).select(F.col("_g").alias("group"), "prevalence")
+    return posterior, rates.select(F.col("_s").alias(source), "sensitivity", "specificity", "held"), groups
+
+
+def marginal_log_likelihood(matrix: DataFrame, item: list[str], source: str, rates: DataFrame, prevalence: Column) -> DataFrame:
+    """Log likelihood of the weighted counts under the rates (one row). ``prevalence`` is an expression over the matrix's columns."""
+    j = matrix.withColumn("_v", prevalence).join(rates.select(source, "sensitivity", "specificity"), source)
+    clip = lambda c: F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), F.col(c)))
+    se, sp = clip("sensitivity"), clip("specificity")
+    per = j.groupBy(*item).agg(
+        (F.log(F.max("_v")) + F.sum(F.col("positive") * F.log(se) + F.col("negative") * F.log(1 - se))).alias("_t"),
+        (F.log(1 - F.max("_v")) + F.sum(F.col("positive") * F.log(1 - sp) + F.col("negative") * F.log(sp))).alias("_f"))
+    top = F.greatest("_t", "_f")
+    return per.agg(F.sum(top + F.log(F.exp(F.col("_t") - top) + F.exp(F.col("_f") - top))).alias("log_likelihood"))

@@ -205,8 +205,13 @@ def best_phrase(terms: DataFrame, term: str, stems: str, vocabulary: DataFrame,
 
 
 def cards(df: DataFrame, key: str, order: list[Column], fields: list[str], top: int) -> DataFrame:
-    """One text card per key of its first rows by order."""
-    w = Window.partitionBy(key).orderBy(*order)
+    """One text card per key of its first rows by the ascending order columns.
+
+    Each task keeps the first rows of its own part of a key (the rows are spread
+    over ``64`` parts by their hash), so a hot key is cut down before it comes together."""
     line = F.concat_ws(" | ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    r = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).select(key, F.struct("_r", line.alias("l")).alias("x"))
-    return r.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l"]), "\n").alias("card"))
+    x = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("l"))
+    parts = df.select(F.col(key), F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(64)).alias("_part"), x.alias("x"))
+    w = Window.partitionBy(key, "_part").orderBy("x")
+    few = parts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
+    return few.groupBy(key).agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list("x")), 1, top), lambda x: x["l"]), "\n").alias("card"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.session import Workspace, is_empty
+from tarnwork.session import Workspace
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     isolated nodes.
     """
     ws = Workspace(edges.sparkSession, "components")
-    cur = ws.cut(edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).where("u <> v").distinct())
+    sums = {f"h{i}": F.sum(F.xxhash64(F.lit(i), "u", "v").cast("decimal(38,0)")) for i in (1, 2)}
+    cur, seen = ws.measured(edges.select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")).where("u <> v").distinct(), **sums)
     while True:
         sym = cur.union(cur.select("v", "u"))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -56,11 +57,13 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         large = large.union(cur.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         j = large.join(low2, "u")
-        new = ws.cut(j.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        if is_empty(new.exceptAll(cur)) and is_empty(cur.exceptAll(new)):
-            break
+        pairs = j.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v")))
+        new, now = ws.measured(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **sums)
         ws.drop(cur)
         cur = new
+        if now == seen:  # as many links with the same sums of two hashes
+            break
+        seen = now
     out = cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
     if nodes is not None:
         out = out.union(nodes.select("node", F.col("node").alias("component")).join(out.select("node"), "node", "left_anti"))
@@ -79,7 +82,7 @@ def clusters_by_attributes(rows: DataFrame, member: str, attribute: str, hub: in
     pairs = rows.select(F.col(member).alias("m"), F.col(attribute).alias("a")).where("m is not null").distinct()
     sizes = pairs.where("a is not null").groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") < hub)
     e = pairs.join(sizes, "a").select(F.concat(F.lit("m|"), "m").alias("source"), F.concat(F.lit("~|"), F.col("a").cast("string")).alias("target"))
-    comp = components(e).where("node like 'm|%'").select(F.substring("node", 3, 10**6).alias("m"), "component")
+    comp = components(e).where("node like 'm|%'").select(F.expr("substring(node, 3)").alias("m"), "component")
     named = comp.groupBy("component").agg(F.min("m").alias("cluster"))
     found = comp.join(named, "component").select("m", "cluster")
     return pairs.select("m").distinct().join(found, "m", "left").select(F.col("m").alias(member), F.coalesce("cluster", "m").alias("cluster"))
@@ -95,10 +98,12 @@ def reach(edges: DataFrame, seeds: DataFrame, steps: int | None = None) -> DataF
     while steps is None or k < steps:
         k += 1
         nxt = front.join(e, front.node == e.source).select("seed", F.col("target").alias("node")).distinct()
-        front = ws.cut(nxt.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(k)))
-        if is_empty(front):
+        front, now = ws.measured(nxt.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(k)))
+        if not now["n"]:
             break
         seen = seen.unionByName(front)
+        if k % 8 == 0:  # one table again, so that the plan does not grow with the depth
+            seen = ws.cut(seen)
     return seen
 
 
@@ -130,26 +135,26 @@ def walk_with_restart(adjacency: DataFrame, seeds: DataFrame, restart: float = 0
     ``dangling`` the mass of nodes without a way out returns to the seeds.
     """
     ws = Workspace(adjacency.sparkSession, "walk")
+    adjacency = ws.cut(adjacency.select("source", "target", "weight"))
     n = seeds.groupBy("seed").agg(F.count("*").alias("_n"))
     start = ws.cut(seeds.join(n, "seed").select("seed", "node", (1.0 / F.col("_n")).alias("mass")))
     state = start
-    for k in range(rounds):
-        moved = state.join(adjacency, state.node == adjacency.source).select("seed", F.col("target").alias("node"), (F.col("mass") * F.col("weight") * (1 - restart)).alias("mass"))
-        back = start.withColumn("mass", F.col("mass") * restart)
+    none = F.lit(0.0)
+    for _ in range(rounds):
+        moved = state.join(adjacency, state.node == adjacency.source).select("seed", F.col("target").alias("node"), (F.col("mass") * F.col("weight") * (1 - restart)).alias("mass"), none.alias("was"))
+        back = start.select("seed", "node", (F.col("mass") * restart).alias("mass"), none.alias("was"))
         if dangling:
             stuck = state.join(adjacency.select(F.col("source").alias("node")).distinct(), "node", "left_anti").groupBy("seed").agg(F.sum("mass").alias("_m"))
-            back = back.unionByName(start.join(stuck, "seed").select("seed", "node", (F.col("mass") * F.col("_m") * (1 - restart)).alias("mass")))
-        new = moved.unionByName(back).groupBy("seed", "node").agg(F.sum("mass").alias("mass"))
-        new = ws.cut(new)
-        old = state
-        if k % 5 == 4:
-            gap = new.join(old.withColumnRenamed("mass", "_o"), ["seed", "node"], "full").agg(F.max(F.abs(F.coalesce("mass", F.lit(0.0)) - F.coalesce("_o", F.lit(0.0))))).first()[0]
-            if gap is not None and gap < tolerance:
-                return new
-        if old is not start:
-            ws.drop(old)
+            back = back.unionByName(start.join(stuck, "seed").select("seed", "node", (F.col("mass") * F.col("_m") * (1 - restart)).alias("mass"), none.alias("was")))
+        old = state.select("seed", "node", none.alias("mass"), F.col("mass").alias("was"))
+        new = moved.unionByName(back).unionByName(old).groupBy("seed", "node").agg(F.sum("mass").alias("mass"), F.sum("was").alias("was"))
+        new, seen = ws.measured(new, gap=F.max(F.abs(F.col("mass") - F.col("was"))))
+        if state is not start:
+            ws.drop(state)
         state = new
-    return state
+        if seen["gap"] is None or seen["gap"] < tolerance:
+            break
+    return state.select("seed", "node", "mass").where("mass > 0")
 
 
 def propagated_max(edges: DataFrame, values: DataFrame) -> DataFrame:
@@ -157,18 +162,20 @@ def propagated_max(edges: DataFrame, values: DataFrame) -> DataFrame:
     return edges.join(values, edges.source == values.node).groupBy(F.col("target").alias("node")).agg(F.max("value").alias("value"))
 
 
-def widest_paths(edges: DataFrame, seeds: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, width): the largest bottleneck of edge weights on a way from the seeds (node, width)."""
+def widest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, width): the largest bottleneck of edge weights on a way from the
+    seeds (node, width). Rounds end once no width grows."""
     ws = Workspace(edges.sparkSession, "widest")
-    best = ws.cut(seeds.select("node", F.col("width").cast("double").alias("width")))
-    front = best
-    for _ in range(rounds):
-        sent = front.join(edges, front.node == edges.source).groupBy(F.col("target").alias("node")).agg(F.max(F.least("width", "weight")).alias("width"))
-        front = ws.cut(sent.join(best.withColumnRenamed("width", "_w"), "node", "left").where("_w is null or width > _w").select("node", "width"))
-        if is_empty(front):
-            break
-        best = ws.cut(best.unionByName(front).groupBy("node").agg(F.max("width").alias("width")))
-    return best
+    cur, seen = ws.measured(seeds.groupBy("node").agg(F.max(F.col("width").cast("double")).alias("width")).withColumn("fresh", F.lit(True)))
+    while True:
+        sent = cur.where("fresh").join(edges, cur.node == edges.source).select(F.col("target").alias("node"), F.least("width", "weight").alias("width"), F.lit(None).cast("double").alias("was"))
+        both = cur.select("node", "width", F.col("width").alias("was")).unionByName(sent)
+        new = both.groupBy("node").agg(F.max("width").alias("width"), F.max("was").alias("was")).where("width is not null")
+        new, seen = ws.measured(new.select("node", "width", (F.col("was").isNull() | (F.col("width") > F.col("was"))).alias("fresh")), fresh=F.count_if("fresh"))
+        ws.drop(cur)
+        cur = new
+        if not seen["fresh"]:
+            return cur.select("node", "width")
 
 
 def relation_adjacency(edges: DataFrame) -> DataFrame:
@@ -177,22 +184,29 @@ def relation_adjacency(edges: DataFrame) -> DataFrame:
     return edges.join(n, ["relation", "target"]).select("source", "target", "relation", (F.col("sign") * F.coalesce("weight", F.lit(1.0)) / F.col("_n")).alias("value"))
 
 
-def spectral_radius(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """Power iteration on the unsigned weights, started evenly (one row)."""
+def spectral_radius(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """Power iteration on the unsigned weights, started evenly, until the
+    radius moves by less than the tolerance (one row). On a graph whose steps
+    swing between two values the geometric mean of two steps is the radius."""
     ws = Workspace(edges.sparkSession, "radius")
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     state = ws.cut(nodes.withColumn("x", F.lit(1.0)))
-    e = edges.groupBy("source", "target").agg(F.sum(F.abs("weight")).alias("w"))
-    e = ws.cut(e)
-    norm = 0.0
+    e = ws.cut(edges.groupBy("source", "target").agg(F.sum(F.abs("weight")).alias("w")))
+    norm, last, radius = 1.0, 0.0, float("inf")
     for _ in range(rounds):
-        new = ws.cut(e.join(state, e.source == state.node).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("x")))
-        norm = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
+        # the state's length is divided out while it is read
+        step = e.join(state, e.source == state.node).groupBy(F.col("target").alias("node")).agg(F.sum(F.col("w") * F.col("x") / norm).alias("x"))
+        new, seen = ws.measured(step, square=F.sum(F.col("x") * F.col("x")))
+        ws.drop(state)
+        state, before, norm = new, last, (seen["square"] or 0.0) ** 0.5
+        last = norm
         if norm == 0:
+            radius = 0.0
             break
-        ws.drop(state)
-        state = new.withColumn("x", F.col("x") / norm)
-    return edges.sparkSession.createDataFrame([(float(norm),)], "radius double")
+        was, radius = radius, (norm * before) ** 0.5
+        if abs(radius - was) < tolerance:
+            break
+    return edges.sparkSession.createDataFrame([(float(radius),)], "radius double")
 
 
 def complex_edges(interactions: DataFrame, source: str, target: str, sep: str = "_") -> DataFrame:

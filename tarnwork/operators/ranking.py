@@ -57,10 +57,13 @@ def macro_over(df: DataFrame, keys: list[str], value: str, positives: str, rows:
 
 
 def positive_ranks(df: DataFrame, row: str, score: str, label: str, tie: str, k: int) -> DataFrame:
-    """Per row: rank of its best positive by score, ties by ``tie``, and whether it is within k."""
-    w = Window.partitionBy(row).orderBy(F.col(score).desc(), F.col(tie))
-    r = df.where(F.col(score).isNotNull()).withColumn("_r", F.row_number().over(w))
-    return r.groupBy(row).agg(F.min(F.when(F.col(label) > 0, F.col("_r"))).alias("best_rank")).where("best_rank is not null").withColumn("hit", F.col("best_rank") <= k)
+    """Per row: rank of its best positive by score, ties by ``tie``, and whether
+    it is within k: the best positive comes from an aggregation, its rank from
+    counting what stands before it, so no row's scores are sorted."""
+    scored = df.where(F.col(score).isNotNull())
+    best = scored.where(F.col(label) > 0).groupBy(row).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))).alias("_b"))
+    before = F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")) <= F.col("_b")
+    return scored.join(best, row).groupBy(row).agg(F.count_if(before).alias("best_rank")).withColumn("hit", F.col("best_rank") <= k)
 
 
 def calibration_error(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -100,11 +103,14 @@ def quantile_strata(df: DataFrame, value: str, strata: int, name: str = "stratum
 
 
 def order_statistic_flag(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
-    """Whether the value reaches the order statistic at floor(share * rows)."""
-    lv = df.groupBy(value).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    cut = lv.select(F.col(value).alias("_cut"), F.sum("_n").over(w).alias("_c"), F.sum("_n").over(total).alias("_t")).where(F.col("_c") > F.floor(F.col("_t") * share)).agg(F.min("_cut").alias("_cut")).scalar()
+    """Whether the value reaches the order statistic at floor(share * rows): distinct
+    values are counted, and their running count is made in ranges of tasks."""
+    from tarnwork.operators.evaluation import ranked_within
+
+    lv = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    run = ranked_within(lv, None, [F.col(value)], "_before", "_n").withColumn("_c", F.col("_before") + F.col("_n"))
+    place = F.floor(df.where(F.col(value).isNotNull()).agg(F.count("*")).scalar() * share)
+    cut = run.where(F.col("_c") > place).agg(F.min(value)).scalar()
     return df.withColumn(name, F.col(value) >= cut)
 
 
@@ -130,7 +136,7 @@ def holm(df: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFrame:
     return r.withColumn("rejected", F.min(F.col(p) <= F.col("_level")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_i", "_level")
 
 
-def bootstrap_macro(df: DataFrame, unit: str, key: str, score: str, label: str, replicates: int = 20, seed: int = 7) -> DataFrame:
+def bootstrap_macro(df: DataFrame, unit: str, key: str, score: str, label: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
     """Percentile bootstrap of the macro average precision over units: each unit
     gets a Poisson(1) weight per replicate from a hash, so no rows are copied."""
     u = (F.pmod(F.xxhash64(F.col(unit), F.col("replicate"), F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003

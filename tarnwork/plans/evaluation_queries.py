@@ -78,22 +78,36 @@ def e_profiles(spark, d):
     return p.select("vec_id", F.col("class").cast("long").alias("class"), F.round("cosine", 5).alias("cosine"))
 
 
-def _latent(spark, d):
+def _latent(spark, d, grouped=True):
     r = _t(spark, d, "reports").withColumn("source", F.lower(F.regexp_replace("source", "[^A-Za-z0-9]", "")))
     m = A.count_matrix(r, ["perturbation_id", "symptom"], "source", "source_record_id", "report_value", F.lit(1.0))
-    return V.latent_reliability(m, ["perturbation_id", "symptom"], "source", 2)
+    kind = r.groupBy("perturbation_id", "symptom").agg(F.min("evidence_class").alias("kind"))
+    m = m.join(kind, ["perturbation_id", "symptom"]) if grouped else m
+    return V.latent_reliability(m, ["perturbation_id", "symptom"], "source", "kind" if grouped else None)
 
 
 def e_latent_sources(spark, d):
     s = _latent(spark, d)[1]
-    return s.select("source", F.round("sensitivity", 5).alias("sensitivity"), F.round("specificity", 5).alias("specificity"))
+    return s.select("source", F.round("sensitivity", 5).alias("sensitivity"), F.round("specificity", 5).alias("specificity"), "held")
+
+
+def e_latent_prevalence(spark, d):
+    return _latent(spark, d)[2].withColumn("prevalence", F.round("prevalence", 5))
+
+
+def e_log_likelihood(spark, d):
+    """Of the reports under even rates of 0.8 and a prevalence of one half."""
+    r = _t(spark, d, "reports").withColumn("source", F.lower(F.regexp_replace("source", "[^A-Za-z0-9]", "")))
+    m = A.count_matrix(r, ["perturbation_id", "symptom"], "source", "source_record_id", "report_value", F.lit(1.0))
+    rates = m.select("source").distinct().select("source", F.lit(0.8).alias("sensitivity"), F.lit(0.7).alias("specificity"))
+    return V.marginal_log_likelihood(m, ["perturbation_id", "symptom"], "source", rates, F.lit(0.4)).select(F.round("log_likelihood", 3).alias("log_likelihood"))
 
 
 def e_latent_items(spark, d):
     return _latent(spark, d)[0].withColumn("posterior", F.round("posterior", 4))
 
 
-QUERIES = {f.__name__: f for f in (e_folds, e_time_split, e_without_partners, e_straddling, e_drawn, e_held_values, e_permuted, e_base_rates, e_neighbour_scores, e_kappa, e_profiles, e_latent_sources, e_latent_items)}
+QUERIES = {f.__name__: f for f in (e_folds, e_time_split, e_without_partners, e_straddling, e_drawn, e_held_values, e_permuted, e_base_rates, e_neighbour_scores, e_kappa, e_profiles, e_latent_sources, e_latent_items, e_latent_prevalence, e_log_likelihood)}
 
 _KEY = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
 _BAD = "('NA','NAN','NONE','NULL','UNASSIGNED','UNKNOWN','NIL','MISSING','UNSPECIFIED','TBD','UNDEFINED','NOTAVAILABLE','NOTAPPLICABLE')"
@@ -107,13 +121,7 @@ def _good(c: str) -> str:
 _I = f"i AS (SELECT item_id, {_good('group_id')} AS grp, perturbation_type, evidence_date FROM split_items)"
 _T = f"t AS (SELECT DISTINCT {_KEY.format('perturbation_id')} p, {_good('target_chembl_id')} t FROM drug_targets)"
 _EM = """r AS (SELECT DISTINCT perturbation_id p, symptom s, lower(regexp_replace(source, '[^A-Za-z0-9]', '', 'g')) AS src, source_record_id, report_value v FROM reports WHERE report_value IS NOT NULL),
-m AS (SELECT p, s, src, count(*) FILTER (v = 1)::DOUBLE a, count(*) FILTER (v <> 1)::DOUBLE b FROM r GROUP BY 1, 2, 3), q0 AS (SELECT p, s, (sum(a) + 0.5) / (sum(a) + sum(b) + 1.0) AS q FROM m GROUP BY 1, 2)"""
-
-
-def _em(i: int) -> str:
-    return f"""s{i} AS (SELECT src, (sum(q * a) + 7) / (sum(q * (a + b)) + 8) AS se, (sum((1 - q) * b) + 7) / (sum((1 - q) * (a + b)) + 8) AS sp FROM m JOIN q{i - 1} USING (p, s) GROUP BY 1),
-v{i} AS (SELECT greatest(1e-4, least(1 - 1e-4, avg(q))) AS v FROM q{i - 1}),
-q{i} AS (SELECT p, s, 1 / (1 + exp(-(sum(a * ln(se / (1 - sp)) + b * ln((1 - se) / sp)) + ln(any_value(v) / (1 - any_value(v)))))) AS q FROM m JOIN s{i} USING (src), v{i} GROUP BY 1, 2)"""
+m AS (SELECT p, s, src, count(*) FILTER (v = 1)::DOUBLE a, count(*) FILTER (v <> 1)::DOUBLE b FROM r GROUP BY 1, 2, 3)"""
 
 
 SQL = {
@@ -132,6 +140,5 @@ SELECT left_id, symptom, max(label) AS best, round(sum(shared * label) / sum(sha
     "e_kappa": "WITH c AS (SELECT l_returnflag a, CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'R' END b FROM lineitem), s AS (SELECT count(*)::DOUBLE t, count(*) FILTER (a = b)::DOUBLE m FROM c), x AS (SELECT a, count(*)::DOUBLE n FROM c GROUP BY 1), y AS (SELECT b, count(*)::DOUBLE n FROM c GROUP BY 1), e AS (SELECT sum(x.n * y.n) e FROM x JOIN y ON x.a = y.b) SELECT round(m / t, 6) AS exact_match, round((m / t - e / (t * t)) / (1 - e / (t * t)), 6) AS kappa FROM s, e",
     "e_profiles": """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) d FROM embeddings), m AS (SELECT label, d, sum(x) m FROM v GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) n FROM m GROUP BY 1), r AS (SELECT vec_id, sqrt(sum(x * x)) r FROM v GROUP BY 1)
 SELECT v.vec_id, m.label::BIGINT AS class, round(sum(v.x * m.m) / any_value(r.r) / any_value(n.n), 5) AS cosine FROM v JOIN m USING (d) JOIN n ON n.label = m.label JOIN r ON r.vec_id = v.vec_id GROUP BY 1, 2""",
-    "e_latent_sources": f"WITH {_EM}, {_em(1)}, {_em(2)} SELECT src AS source, round(se, 5) AS sensitivity, round(sp, 5) AS specificity FROM s2",
-    "e_latent_items": f"WITH {_EM}, {_em(1)}, {_em(2)} SELECT p AS perturbation_id, s AS symptom, round(q, 4) AS posterior FROM q2",
+    "e_log_likelihood": f"WITH {_EM}, l AS (SELECT p, s, ln(0.4) + sum(a * ln(0.8) + b * ln(0.2)) AS t, ln(0.6) + sum(a * ln(0.3) + b * ln(0.7)) AS f FROM m GROUP BY 1, 2) SELECT round(sum(greatest(t, f) + ln(exp(t - greatest(t, f)) + exp(f - greatest(t, f)))), 3) AS log_likelihood FROM l",
 }

@@ -38,13 +38,6 @@ def v_prefix_conflicts(spark, d):
 
 
 def v_collapse(spark, d):
-    c = _t(spark, d, "ctd_relations").where("stitch_flat_id is not null and chemical_mesh_id is not null").select("symptom", "stitch_flat_id", "chemical_match_method")
-    m = c.groupBy("symptom").agg(F.min("stitch_flat_id").alias("x"))
-    return E.collapse_by_priority(c.join(m, "symptom").where(F.substring("stitch_flat_id", 11, 2) == F.substring("x", 11, 2)), "symptom", "stitch_flat_id", F.coalesce(F.col("chemical_match_method") != "ctd_chemical_name", F.lit(True)))
-
-
-def v_collapse_all(spark, d):
-    """As v_collapse, over all rows with both ids set."""
     c = _t(spark, d, "ctd_relations").where("stitch_flat_id is not null and chemical_mesh_id is not null").select("symptom", "stitch_flat_id", "chemical_match_method")
     return E.collapse_by_priority(c, "symptom", "stitch_flat_id", F.coalesce(F.col("chemical_match_method") != "ctd_chemical_name", F.lit(True)))
 
@@ -132,10 +125,10 @@ def v_best_phrase(spark, d):
 
 def v_cards(spark, d):
     r = _t(spark, d, "reports").where("report_value = 1")
-    return E.cards(r, "symptom", [F.col("pubmed_reference_count").desc(), F.col("report_ordinal")], ["perturbation_id", "source", "pubmed_reference_count"], 5)
+    return E.cards(r, "symptom", [F.coalesce(-F.col("pubmed_reference_count"), F.lit(2**62)), F.col("report_ordinal")], ["perturbation_id", "source", "pubmed_reference_count"], 5)
 
 
-QUERIES = {f.__name__: f for f in (v_label_statements, v_grades, v_prefix_conflicts, v_collapse, v_collapse_all, v_both_keys, v_mechanisms, v_first_unless_absent, v_arms, v_edge_evidence, v_bulk_citations, v_split_nodes, v_disjoint_parts, v_recurring_pairs, v_unanimous, v_apply_priors, v_balanced, v_correlations, v_best_phrase, v_cards)}
+QUERIES = {f.__name__: f for f in (v_label_statements, v_grades, v_prefix_conflicts, v_collapse, v_both_keys, v_mechanisms, v_first_unless_absent, v_arms, v_edge_evidence, v_bulk_citations, v_split_nodes, v_disjoint_parts, v_recurring_pairs, v_unanimous, v_apply_priors, v_balanced, v_correlations, v_best_phrase, v_cards)}
 
 _KEY = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
 _BAD = "('NA','NAN','NONE','NULL','UNASSIGNED','UNKNOWN','NIL','MISSING','UNSPECIFIED','TBD','UNDEFINED','NOTAVAILABLE','NOTAPPLICABLE')"
@@ -161,8 +154,8 @@ SELECT ingredient, country, symptom, labels, fewest_ingredients, labels_in_total
 g AS (SELECT *, CASE WHEN cls = 'monogenic' AND typed AND causal = 0 THEN 'C' WHEN cls = 'monogenic' AND (series >= 2 OR syn) THEN 'A' WHEN cls = 'monogenic' THEN 'C' WHEN cls = 'pharmacological' AND pos > 0 THEN 'B' WHEN cls = 'pharmacological' THEN 'E' WHEN cls = 'open_targets' THEN 'B' WHEN cls = 'human_association' THEN 'C' WHEN cls = 'animal' THEN 'D' WHEN cls = 'literature' THEN 'E' END AS grade FROM o)
 SELECT perturbation_id, symptom, relation, grade, round(CASE WHEN cls = 'open_targets' THEN 0.45 WHEN grade = 'A' THEN CASE WHEN f IS NULL THEN 1.0 ELSE greatest(0.25, least(1.0, f * 4)) END WHEN grade = 'B' THEN 0.6 * CASE WHEN f IS NULL THEN 1.0 ELSE greatest(0.25, least(1.0, f * 10)) END WHEN grade = 'C' THEN 0 WHEN grade = 'D' THEN 0.2 ELSE 0.05 END, 6) AS weight FROM g""",
     "v_prefix_conflicts": "WITH p AS (SELECT split_part(drug_name, ' ', 1) v FROM drug_vocabulary), n AS (SELECT v, count(*) n FROM p GROUP BY 1) SELECT v, 'repeated' AS reason FROM n WHERE n > 1 UNION ALL SELECT DISTINCT a.v, 'contains another' FROM n a JOIN n b ON a.v <> b.v AND starts_with(a.v, b.v) UNION ALL SELECT v, 'empty' FROM n WHERE trim(v) = ''",
-    "v_collapse": """WITH c AS (SELECT symptom, stitch_flat_id v, coalesce(chemical_match_method <> 'ctd_chemical_name', true) AS p FROM ctd_relations WHERE stitch_flat_id IS NOT NULL AND chemical_mesh_id IS NOT NULL), m AS (SELECT symptom, min(v) x FROM c GROUP BY 1), k AS (SELECT c.* FROM c JOIN m USING (symptom) WHERE substr(v, 11, 2) = substr(x, 11, 2)),
-q AS (SELECT symptom, arg_min(v, {'p': p, 'v': v}) AS chosen, list_sort(list(DISTINCT v)) AS a FROM k GROUP BY 1) SELECT symptom, chosen, array_to_string(list_filter(a, lambda x: x <> chosen), ';') AS others FROM q""",
+    "v_collapse": """WITH c AS (SELECT symptom, stitch_flat_id v, coalesce(chemical_match_method <> 'ctd_chemical_name', true) AS p FROM ctd_relations WHERE stitch_flat_id IS NOT NULL AND chemical_mesh_id IS NOT NULL),
+q AS (SELECT symptom, arg_min(v, {'p': p, 'v': v}) AS chosen, list_sort(list(DISTINCT v)) AS a FROM c GROUP BY 1) SELECT symptom, chosen, array_to_string(list_filter(a, lambda x: x <> chosen), ';') AS others FROM q""",
     "v_both_keys": f"SELECT pair_id, {_k('left_target_id')} AS target FROM target_pairs WHERE {_k('left_target_id')} IS NOT NULL UNION SELECT pair_id, {_k('right_target_id')} FROM target_pairs WHERE {_k('right_target_id')} IS NOT NULL",
     "v_mechanisms": f"""WITH t AS (SELECT {_k('perturbation_id')} u, {_good('target_chembl_id')} x, action_type k FROM drug_targets), l AS (SELECT DISTINCT {_k('left_target_id')} x, {_k('right_target_id')} o FROM target_pairs WHERE left_target_id IS NOT NULL AND right_target_id IS NOT NULL),
 a AS (SELECT u, x, list_sort(list(DISTINCT k)) own FROM t WHERE k IS NOT NULL GROUP BY 1, 2), b AS (SELECT t.u, l.x, list_sort(list(DISTINCT t.k)) inh FROM l JOIN t ON t.x = l.o WHERE t.k IS NOT NULL GROUP BY 1, 2),

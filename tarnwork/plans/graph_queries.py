@@ -43,19 +43,13 @@ def g_largest_share(spark, d):
 
 
 def g_clusters(spark, d):
-    r = _t(spark, d, "reports").where("perturbation_type = 'gene'").select("perturbation_id", "source_term_id").where("perturbation_id is not null")
-    return G.clusters_by_attributes(r, "perturbation_id", "source_term_id", 3)
-
-
-def g_clusters_all(spark, d):
-    """As g_clusters, with the reference's limit: attributes of 20 or more members link nothing."""
     r = _t(spark, d, "reports").where("perturbation_type = 'gene'").select("perturbation_id", "source_term_id").where("perturbation_id is not null")
     return G.clusters_by_attributes(r, "perturbation_id", "source_term_id", 20)
 
 
 def g_reach(spark, d):
     n = _t(spark, d, "fine_constructs").select(hpo_id(F.col("hpo_id")).alias("seed")).where("seed is not null").distinct()
-    return G.reach(_down(spark, d), n, 3)
+    return G.reach(_down(spark, d), n)
 
 
 def g_closure_without(spark, d):
@@ -70,7 +64,7 @@ def g_adjacency(spark, d):
 def g_walk(spark, d):
     e = _pairs(spark, d)
     seeds = e.where("relation = 'sequence'").select(F.lit("s").alias("seed"), F.col("source").alias("node")).distinct()
-    return G.walk_with_restart(G.normalised_adjacency(e), seeds, 0.3, 3).withColumn("mass", F.round("mass", 7))
+    return G.walk_with_restart(G.normalised_adjacency(e), seeds, 0.3, 50).withColumn("mass", F.round("mass", 7))
 
 
 def g_propagated_max(spark, d):
@@ -93,7 +87,7 @@ def g_relation_adjacency(spark, d):
 def g_spectral_radius(spark, d):
     e = _pairs(spark, d).where("weight is not null")
     both = e.select("source", "target", "weight").union(e.select("target", "source", "weight"))
-    return G.spectral_radius(both, 15)
+    return G.spectral_radius(both)
 
 
 def g_complex_members(spark, d):
@@ -110,7 +104,7 @@ def g_overlaps(spark, d):
     return G.set_overlaps(t, "p", "t").withColumn("jaccard", F.round("jaccard", 6))
 
 
-QUERIES = {f.__name__: f for f in (g_degrees, g_reciprocity, g_duplicates, g_components, g_largest_share, g_clusters, g_clusters_all, g_reach, g_closure_without, g_adjacency, g_walk, g_propagated_max, g_widest, g_relation_adjacency, g_spectral_radius, g_complex_members, g_rewired, g_overlaps)}
+QUERIES = {f.__name__: f for f in (g_degrees, g_reciprocity, g_duplicates, g_components, g_largest_share, g_clusters, g_reach, g_closure_without, g_adjacency, g_walk, g_propagated_max, g_widest, g_relation_adjacency, g_spectral_radius, g_complex_members, g_rewired, g_overlaps)}
 
 _KEY = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
 _BAD = "('NA','NAN','NONE','NULL','UNASSIGNED','UNKNOWN','NIL','MISSING','UNSPECIFIED','TBD','UNDEFINED','NOTAVAILABLE','NOTAPPLICABLE')"
@@ -144,12 +138,12 @@ SQL = {
     "g_duplicates": f"WITH {_E}, x AS (SELECT source, target, relation, count(*) n FROM e GROUP BY 1, 2, 3) SELECT sum(n - 1)::BIGINT AS duplicates FROM x",
     "g_components": f"WITH RECURSIVE {_COMP} SELECT node, component FROM c",
     "g_largest_share": f"WITH RECURSIVE {_COMP}, s AS (SELECT component, count(*) n FROM c GROUP BY 1) SELECT round(max(n) / sum(n), 6) AS largest_share, count(*) AS components FROM s",
-    "g_clusters": """WITH RECURSIVE p AS (SELECT DISTINCT perturbation_id m, source_term_id a FROM reports WHERE perturbation_type = 'gene' AND perturbation_id IS NOT NULL), h AS (SELECT a FROM p WHERE a IS NOT NULL GROUP BY 1 HAVING count(*) < 3), q AS (SELECT m, a FROM p WHERE a IN (SELECT a FROM h)),
-l AS (SELECT DISTINCT x.m AS s, y.m AS t FROM q x JOIN q y USING (a)), r(x, y) AS (SELECT m, m FROM p UNION SELECT r.x, l.t FROM r JOIN l ON l.s = r.y) SELECT x AS perturbation_id, min(y) AS cluster FROM r GROUP BY 1""",
-    "g_reach": f"WITH RECURSIVE {_D}, s AS (SELECT DISTINCT {_hp('hpo_id')} x FROM fine_constructs), r(seed, node, hop) AS (SELECT x, x, 0 FROM s WHERE x IS NOT NULL UNION SELECT r.seed, d.target, r.hop + 1 FROM r JOIN d ON d.source = r.node WHERE r.hop < 3) SELECT seed, node, min(hop)::INT AS hop FROM r GROUP BY 1, 2",
+    "g_clusters": """WITH RECURSIVE p AS (SELECT DISTINCT perturbation_id m, source_term_id a FROM reports WHERE perturbation_type = 'gene' AND perturbation_id IS NOT NULL), h AS (SELECT a FROM p WHERE a IS NOT NULL GROUP BY 1 HAVING count(*) < 20), q AS (SELECT m, a FROM p WHERE a IN (SELECT a FROM h)),
+l AS (SELECT DISTINCT x.m AS s, y.m AS t FROM q x JOIN q y USING (a) WHERE x.m <> y.m), r(x, y) AS (SELECT m, m FROM p UNION SELECT r.x, l.t FROM r JOIN l ON l.s = r.y) SELECT x AS perturbation_id, min(y) AS cluster FROM r GROUP BY 1""",
+    "g_reach": f"WITH RECURSIVE {_D}, s AS (SELECT DISTINCT {_hp('hpo_id')} x FROM fine_constructs), r(seed, node, hop) USING KEY (seed, node) AS (SELECT x, x, 0 FROM s WHERE x IS NOT NULL UNION SELECT r.seed, d.target, min(r.hop + 1) FROM r JOIN d ON d.source = r.node WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.seed = r.seed AND k.node = d.target) GROUP BY 1, 2) SELECT seed, node, hop::INT AS hop FROM r",
     "g_closure_without": f"WITH RECURSIVE {_D}, c AS (SELECT coarse, {_hp('hpo_id')} x, is_namesake f FROM fine_constructs), r(coarse, f, node) AS (SELECT coarse, f, x FROM c WHERE x IS NOT NULL AND f IS NOT NULL UNION SELECT r.coarse, r.f, d.target FROM r JOIN d ON d.source = r.node) SELECT coarse AS seed, node FROM r WHERE NOT f EXCEPT SELECT coarse, node FROM r WHERE f",
     "g_adjacency": f"WITH {_E}, {_U}, {_ADJ} SELECT source, target, round(weight, 6) AS weight FROM a",
-    "g_walk": f"WITH {_E}, {_U}, {_ADJ}, s AS (SELECT DISTINCT source AS node FROM e WHERE relation = 'sequence'), w0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM s) AS m FROM s), {_step(1)}, {_step(2)}, {_step(3)} SELECT 's' AS seed, node, round(m, 7) AS mass FROM w3",
+    "g_walk": f"WITH {_E}, {_U}, {_ADJ}, s AS (SELECT DISTINCT source AS node FROM e WHERE relation = 'sequence'), w0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM s) AS m FROM s), {", ".join(_step(i) for i in range(1, 51))} SELECT 's' AS seed, node, round(m, 7) AS mass FROM w50",
     "g_propagated_max": f"WITH {_E}, v AS (SELECT {_KEY.format('target_chembl_id')} AS node, max(len(accessions)) AS value FROM drug_targets GROUP BY 1) SELECT e.target AS node, max(value)::BIGINT AS value FROM e JOIN v ON v.node = e.source WHERE value IS NOT NULL GROUP BY 1",
     "g_widest": f"WITH RECURSIVE {_E}, b AS (SELECT source, target, weight FROM e WHERE weight IS NOT NULL UNION SELECT target, source, weight FROM e WHERE weight IS NOT NULL), r(node, width) AS (SELECT DISTINCT source, 1.0::DOUBLE FROM e WHERE relation = 'sequence' UNION SELECT b.target, least(r.width, b.weight) FROM r JOIN b ON b.source = r.node) SELECT node, max(width) AS width FROM r GROUP BY 1",
     "g_relation_adjacency": f"WITH {_E} SELECT source, target, relation, round(sign * coalesce(weight, 1.0) / count(*) OVER (PARTITION BY relation, target), 6) AS value FROM e",

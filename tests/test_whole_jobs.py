@@ -19,7 +19,7 @@ def test_collapse_covers_every_row(spark, data):
     for k, values in by.items():
         chosen = min(values, key=lambda v: (values[v], v))
         want.add((k, chosen, ";".join(sorted(v for v in values if v != chosen))))
-    got = {(r["symptom"], r["chosen"], r["others"]) for r in registry.queries()["v_collapse_all"](spark, data).collect()}
+    got = {(r["symptom"], r["chosen"], r["others"]) for r in registry.queries()["v_collapse"](spark, data).collect()}
     assert got == want
 
 
@@ -43,6 +43,6 @@ def test_clusters_link_by_up_to_nineteen_members(spark, data):
             for m in linked:
                 a, b = sorted((find(m), find(min(linked))))
                 up[b] = a
-    got = {r["perturbation_id"]: r["cluster"] for r in registry.queries()["g_clusters_all"](spark, data).collect()}
+    got = {r["perturbation_id"]: r["cluster"] for r in registry.queries()["g_clusters"](spark, data).collect()}
     assert got == {m: find(m) for m in members}
     assert any(2 < len(v) < 20 for v in of.values())
