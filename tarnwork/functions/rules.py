@@ -137,3 +137,39 @@ def rule_value(rule: str, values: dict[str, float]) -> float | None:
 def gene_rule(rule: pd.Series, names: pd.Series, levels: pd.Series) -> pd.Series:
     """The rule's value with the row's own names and levels."""
     return pd.Series([rule_value(r, dict(zip(n, v))) if r is not None and n is not None else None for r, n, v in zip(rule, names, levels)], dtype="float64")
+
+
+def mapped_relation(kind: Column, partner: Column, table: dict[str, tuple[str, int]], partners: list[str]) -> Column:
+    """struct(relation, value) of a relation type, null for types the table
+    lacks and for partners of another type."""
+    out = None
+    for k, (relation, value) in table.items():
+        v = F.struct(F.lit(relation).alias("relation"), F.lit(value).alias("value"))
+        out = F.when(kind == k, v) if out is None else out.when(kind == k, v)
+    return F.when(partner.isin(partners), out)
+
+
+def association(disease: Column, first: Column, second: Column, causal: list[str], other: list[str], prefix: str = "ORPHA:") -> Column:
+    """struct(type, causal): ids with the prefix read the first source and fall
+    back to the second, others read the second; causal is null for unlisted types."""
+    t = F.when(disease.startswith(prefix), F.coalesce(first, second)).otherwise(second)
+    return F.struct(t.alias("type"), F.when(t.isin(causal), True).when(t.isin(other), False).alias("causal"))
+
+
+def metadata_weight(design: Column, table: dict[str, float], diagnosed: Column, factor: float, floor: float = 0.05) -> Column:
+    """Weight of a study's design, reduced where the outcome is a diagnosis, clipped."""
+    w = F.coalesce(lookup(design, table), F.lit(floor)) * F.when(F.coalesce(diagnosed, F.lit(False)), factor).otherwise(1.0)
+    return F.greatest(F.lit(floor), F.least(F.lit(1.0), w))
+
+
+def flag_sign(raises: Column, lowers: Column, relation: str = "regulates", plain: str = "binds") -> Column:
+    """struct(relation, sign) of two flags: one of them gives its sign, both or none give 0."""
+    up, down = F.coalesce(raises, F.lit(False)), F.coalesce(lowers, F.lit(False))
+    sign = F.when(up & ~down, 1).when(down & ~up, -1).otherwise(0)
+    return F.struct(F.when(up | down, relation).otherwise(plain).alias("relation"), sign.alias("sign"))
+
+
+def action_sign(action: Column, raising: list[str], lowering: list[str]) -> Column:
+    """1, -1 or null for an action outside both vocabularies."""
+    a = F.upper(F.trim(action))
+    return F.when(a.isin(raising), 1).when(a.isin(lowering), -1)

@@ -161,7 +161,7 @@ def stem(c: Column) -> Column:
 
 def names_word(text: Column, name: Column) -> Column:
     """Whether the name stands in the text as a word of its own."""
-    return F.lower(text).rlike(F.concat(F.lit("(?<![a-z0-9])\\Q"), F.lower(name), F.lit("\\E(?![a-z0-9])")))
+    return F.rlike(F.lower(text), F.concat(F.lit("(?<![a-z0-9])\\Q"), F.lower(name), F.lit("\\E(?![a-z0-9])")))
 
 
 def without_suffix(c: Column, pattern: str = r"\[[a-z]\]$|_[a-z]$") -> Column:
@@ -214,3 +214,18 @@ def nernst_millivolts(outside: Column, inside: Column, charge: Column, kelvin: f
 def bounded_count(n: Column, most: int) -> Column:
     """Whether a count lies between one and the most allowed."""
     return F.coalesce(n.between(1, most), F.lit(False))
+
+
+def node_symbol(c: Column) -> Column:
+    """A node's symbol: what stands between the type prefix and the accession after the last bar."""
+    return F.regexp_replace(F.regexp_replace(c, "^[A-Za-z]+:", ""), r"\|[^|]*$", "")
+
+
+def calibrated_concentration(p_affinity: Column, low: float, high: float, slope: float, offset: float) -> Column:
+    """10 to an affine function of the clamped affinity."""
+    return F.pow(F.lit(10.0), offset + slope * F.greatest(F.lit(low), F.least(F.lit(high), p_affinity)))
+
+
+def pseudo_count(p: Column, most: float) -> Column:
+    """Odds of a posterior, capped."""
+    return F.when(p >= 1, F.lit(most)).otherwise(F.least(F.lit(most), p / (1 - p)))

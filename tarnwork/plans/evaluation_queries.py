@@ -8,6 +8,7 @@ from tarnwork.functions.ids import id_key, not_placeholder
 from tarnwork.operators import aggregates as A
 from tarnwork.operators import evaluation as V
 from tarnwork.operators.joins import shared_neighbours
+from tarnwork.plans.keys import KEY as _KEY, good as _good
 from tarnwork.plans.scalar_queries import _t
 
 
@@ -109,14 +110,6 @@ def e_latent_items(spark, d):
 
 QUERIES = {f.__name__: f for f in (e_folds, e_time_split, e_without_partners, e_straddling, e_drawn, e_held_values, e_permuted, e_base_rates, e_neighbour_scores, e_kappa, e_profiles, e_latent_sources, e_latent_items, e_latent_prevalence, e_log_likelihood)}
 
-_KEY = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
-_BAD = "('NA','NAN','NONE','NULL','UNASSIGNED','UNKNOWN','NIL','MISSING','UNSPECIFIED','TBD','UNDEFINED','NOTAVAILABLE','NOTAPPLICABLE')"
-
-
-def _good(c: str) -> str:
-    k = _KEY.format(c)
-    return f"CASE WHEN {k} NOT IN {_BAD} THEN {k} END"
-
 
 _I = f"i AS (SELECT item_id, {_good('group_id')} AS grp, perturbation_type, evidence_date FROM split_items)"
 _T = f"t AS (SELECT DISTINCT {_KEY.format('perturbation_id')} p, {_good('target_chembl_id')} t FROM drug_targets)"

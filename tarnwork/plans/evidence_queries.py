@@ -9,6 +9,7 @@ from tarnwork.functions.ids import id_key, not_placeholder
 from tarnwork.functions.scalars import normalised_name, split_list
 from tarnwork.operators import evidence as E
 from tarnwork.operators.aggregates import observations
+from tarnwork.plans.keys import KEY as _KEY, BAD as _BAD, good as _good
 from tarnwork.plans.scalar_queries import _t
 
 
@@ -130,8 +131,6 @@ def v_cards(spark, d):
 
 QUERIES = {f.__name__: f for f in (v_label_statements, v_grades, v_prefix_conflicts, v_collapse, v_both_keys, v_mechanisms, v_first_unless_absent, v_arms, v_edge_evidence, v_bulk_citations, v_split_nodes, v_disjoint_parts, v_recurring_pairs, v_unanimous, v_apply_priors, v_balanced, v_correlations, v_best_phrase, v_cards)}
 
-_KEY = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
-_BAD = "('NA','NAN','NONE','NULL','UNASSIGNED','UNKNOWN','NIL','MISSING','UNSPECIFIED','TBD','UNDEFINED','NOTAVAILABLE','NOTAPPLICABLE')"
 
 
 def _k(c: str) -> str:

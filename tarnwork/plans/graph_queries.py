@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.ids import hpo_id, id_key, not_placeholder
 from tarnwork.operators import graph as G
+from tarnwork.plans.keys import KEY as _KEY, good as _good
 from tarnwork.plans.scalar_queries import _t
 
 
@@ -106,14 +107,6 @@ def g_overlaps(spark, d):
 
 QUERIES = {f.__name__: f for f in (g_degrees, g_reciprocity, g_duplicates, g_components, g_largest_share, g_clusters, g_reach, g_closure_without, g_adjacency, g_walk, g_propagated_max, g_widest, g_relation_adjacency, g_spectral_radius, g_complex_members, g_rewired, g_overlaps)}
 
-_KEY = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
-_BAD = "('NA','NAN','NONE','NULL','UNASSIGNED','UNKNOWN','NIL','MISSING','UNSPECIFIED','TBD','UNDEFINED','NOTAVAILABLE','NOTAPPLICABLE')"
-
-
-def _good(c: str) -> str:
-    k = _KEY.format(c)
-    return f"CASE WHEN {k} NOT IN {_BAD} THEN {k} END"
-
 
 def _hp(c: str) -> str:
     k = f"regexp_replace(upper({c}), '[^A-Z0-9]', '', 'g')"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.ids import id_key, not_placeholder
 from tarnwork.operators import joins as J
+from tarnwork.plans.keys import BAD as _BAD, good as _good
 from tarnwork.plans.scalar_queries import _t
 
 
@@ -79,7 +80,6 @@ def j_shared_targets(spark, d):
 QUERIES = {f.__name__: f for f in (j_first_report, j_last_delivery, j_unambiguous, j_inverse, j_precedence, j_fill_union, j_flagged, j_kept_relations, j_drop_reasons, j_compare, j_shared_targets)}
 
 _K = "nullif(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '')"
-_BAD = "('NA','NAN','NONE','NULL','UNASSIGNED','UNKNOWN','NIL','MISSING','UNSPECIFIED','TBD','UNDEFINED','NOTAVAILABLE','NOTAPPLICABLE')"
 
 
 def _key(c: str) -> str:
