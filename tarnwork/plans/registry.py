@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules with QUERIES and SQL.
-MODULES = ("hierarchy_queries", "packed_queries", "unit_queries", "scalar_queries", "join_queries", "aggregate_queries", "ranking_queries", "statistics_queries", "graph_queries", "evaluation_queries", "evidence_queries", "rule_queries")
+MODULES = ("hierarchy_queries", "packed_queries", "unit_queries", "scalar_queries", "join_queries", "aggregate_queries", "ranking_queries", "statistics_queries", "graph_queries", "evaluation_queries", "evidence_queries", "rule_queries", "match_queries", "layer_queries", "report_queries", "input_queries")
 
 
 def queries() -> dict[str, Callable]:

@@ -137,6 +137,11 @@ def read_interaction_pairs(spark: SparkSession, path: str, taxon: str = "9606")
 
 def read_zipped(spark: SparkSession, path: str, member: str, columns: list[str], sep: str = "\t") -> DataFrame:
     """Rows of one delimited member of each zip file, its header line left out."""
+    return unzipped(spark.read.format("binaryFile").load(path), member, columns, sep)
+
+
+def unzipped(archives: DataFrame, member: str, columns: list[str], sep: str = "\t") -> DataFrame:
+    """Rows of one delimited member of each archive in the column ``content``."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
@@ -153,7 +158,7 @@ def read_zipped(spark: SparkSession, path: str, member: str, columns: list[str],
                     if block:
                         yield pd.DataFrame(block, columns=columns)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, _strings(columns))
+    return archives.select("content").mapInPandas(rows, _strings(columns))
 
 
 def propagated_terms(annotations: DataFrame, links: DataFrame) -> DataFrame:
