@@ -153,7 +153,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_units(_read(spark, d, "documents"), "doc_id", "text")
+    return sentence_units(_read(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 QUERIES = {

@@ -2,8 +2,9 @@
 
 Method: the standard sentence-break character properties give the terminators
 of all scripts, the closing marks that belong to them and the letters that can
-or cannot begin a sentence. On top of them: language-specific abbreviations
-are suppressed, a terminator inside quotation marks divides only where the
+or cannot begin a sentence. On top of them: the abbreviations of the text's
+languages are suppressed (those whose function words the text uses, its script
+allows and its ``lang`` names; of all languages where nothing tells), a terminator inside quotation marks divides only where the
 quotation stands alone and ends, and line breaks are told apart into hard
 breaks (headings, list entries, paragraphs) and wrapped lines. Thai, which
 writes no terminators, is divided at blanks between Thai letters.
@@ -18,6 +19,8 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 import regex
@@ -53,10 +56,10 @@ _QUOTES = re.compile("[\"“”„«»「」『』‹›＂]")
 #: Abbreviations, without the last full stop, in lower case.
 #: Never at the end of a sentence.
 NEVER = {
-    "en": "dr mr mrs ms prof st vs cf viz e.g i.e approx fig figs sec eq ref refs ver tabl messrs rev hon gen col capt ext dept",
-    "de": "vgl z.b d.h bzw ca abb tab evtl ggf inkl max min sog u.a z.t o.g s.o s.u hr fr frl dipl ing bspw insb",
-    "fr": "m mm mme mlle p.ex c.-à-d env av apr cf boul éd",
-    "es": "sr sra srta dra p.ej aprox núm pág págs fig cap ee ud uds d.ª",
+    "en": "dr mr mrs ms prof st vs cf viz e.g i.e approx fig figs sec eq ref refs ver messrs rev hon gen col capt ext dept",
+    "de": "dr prof st vgl z.b d.h bzw ca abb tab evtl ggf inkl max min sog u.a z.t o.g s.o s.u hr fr frl dipl ing bspw insb",
+    "fr": "dr prof vs fig tabl m mm mme mlle p.ex c.-à-d env av apr cf boul éd",
+    "es": "dr prof vs sr sra srta dra p.ej aprox núm pág págs fig cap ee ud uds d.ª",
     "ru": "т.е т.к т.н напр прим см рис табл ср гл акад им ул проф доц тел",
     "ar": "د أ م ص",
     "hi": "डॉ श्री प्रो",
@@ -69,9 +72,61 @@ BEFORE_FIGURE = {
 MAY = {"en": "inc ltd corp etc resp incl excl est min max avg std hrs mos yrs wks jan feb mar apr jun jul aug sep sept oct nov dec", "de": "usw tel", "fr": "etc", "es": "etc", "ru": "нед мес"}
 #: German words before an ordinal.
 ORDINAL_AFTER = set("am die der das dem den des im vom zum zur bis ab seit jede jeder jedes ihre ihr seine sein eine einer einem jeden".split())
-_NEVER = {w for ws in NEVER.values() for w in ws.split()}
-_MAY = {w for ws in MAY.values() for w in ws.split()}
-_FIGURE = {w for ws in BEFORE_FIGURE.values() for w in ws.split()}
+#: Abbreviations that are ordinary words unless written with a capital.
+TITLES = set("rev hon gen col capt prof".split())
+#: Words that begin a sentence and no name.
+STARTERS = {
+    "en": "the a an it he she they we you i this that these those there then but and so if when while after before his her its their our my in on at for with as no not nobody everyone he's she's it's we're they're",
+    "de": "der die das ein eine er sie es wir ihr ich dann danach aber und wenn als nach vor im in am auf bei mit es",
+    "fr": "le la les un une il elle ils elles nous vous je on ce cette ces puis mais et si quand après avant dans sur en pour avec",
+    "es": "el la los las un una él ella ellos ellas nosotros yo este esta estos estas luego pero y si cuando después antes en para con",
+    "ru": "он она оно они мы вы я это эта этот эти затем потом но и а если когда после в на с по не",
+}
+#: Function words and letters that tell the languages of one script apart; none of the words is one of another language here.
+FUNCTION = {
+    "en": "the and of to was is with for that at by he she they his this then had were", "de": "der das und ist mit nicht ein eine zu im von bei auf seit nach kein keine keinen einen sich auch wurde", "fr": "le les des et une est dans pour au du", "es": "el los las una que por del al su y",
+}
+LETTERS = {"de": "äöüß", "fr": "àâçéèêëîïôœùû", "es": "ñ¿¡áéíóú"}
+_FUNCTION = {k: frozenset(ws.split()) for k, ws in FUNCTION.items()}
+_SCRIPTS = tuple((k, frozenset(map(chr, range(a, b + 1)))) for k, a, b in (("ru", 0x430, 0x451), ("ar", 0x620, 0x64A), ("hi", 0x905, 0x939)))
+
+
+@dataclass(frozen=True)
+class Rules:
+    """The word lists of the languages of a text."""
+
+    never: frozenset[str]
+    may: frozenset[str]
+    figure: frozenset[str]
+    starters: frozenset[str]
+
+
+@cache
+def rules_for(languages: frozenset[str]) -> Rules:
+    pick = lambda table: frozenset(w for k, ws in table.items() if k in languages for w in ws.split())
+    return Rules(pick(NEVER), pick(MAY), pick(BEFORE_FIGURE), pick(STARTERS))
+
+
+#: The article before a noun, which German writes with a capital.
+_GERMAN_DIE = re.compile("\\bdie [A-ZÄÖÜ][a-zäöüß]")
+
+
+def languages_of(text: str, lang: str | None) -> frozenset[str]:
+    """Languages the text is written in, as far as they have word lists: those
+    whose function words it uses, those of its scripts, and the named one unless
+    the text uses only words of others."""
+    low = text.lower()
+    words, letters = set(low.split()), set(low)
+    found = {k for k, script in _SCRIPTS if not letters.isdisjoint(script)}
+    latin = {k for k, ws in _FUNCTION.items() if not words.isdisjoint(ws) or not letters.isdisjoint(LETTERS.get(k, ""))}
+    if _GERMAN_DIE.search(text):
+        latin.add("de")
+    named = (lang or "").strip().lower()[:2]
+    if named in FUNCTION and not latin:
+        latin.add(named)
+    return frozenset(found | (latin or set(FUNCTION)))
+
+
 #: Parts of abbreviations written with blanks between.
 _PAIRS = {("z", "b"), ("d", "h"), ("p", "ej"), ("p", "ex"), ("т", "е"), ("т", "к"), ("т", "н"), ("u", "a"), ("ee", "uu"), ("i", "e"), ("e", "g"), ("c", "d"), ("м", "д")}
 #: Words a wrapped line may end with, but no heading.
@@ -115,7 +170,17 @@ def quote_spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return spans
 
 
-def _suppressed(text: str, cur: int, t: int, nxt: str) -> bool:
+_DOTTED = re.compile(r"\(?(?:[^\W\d_]\.)+[^\W\d_]")
+_NEXT_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+
+
+def _starts(text: str, k: int, rules: Rules) -> bool:
+    """The word at ``k`` is one that begins sentences."""
+    m = _NEXT_WORD.match(text, k)
+    return m is not None and m.group().lower() in rules.starters
+
+
+def _suppressed(text: str, cur: int, t: int, k: int, nxt: str, rules: Rules) -> bool:
     """The full stop at ``t`` belongs to an abbreviation, initial or ordinal."""
     lo = max(cur, t - 24)
     at = max(text.rfind(" ", lo, t), text.rfind("\n", lo, t)) + 1 or lo
@@ -126,10 +191,10 @@ def _suppressed(text: str, cur: int, t: int, nxt: str) -> bool:
     low = word.lower().lstrip("([¿¡'’-–—")
     if not low:
         return False
-    if low in _NEVER:
+    if low in rules.never and not (low in TITLES and word[:1].islower() and nxt.isupper()):
         return True
     digit = nxt.isdigit()
-    if digit and low in _FIGURE:
+    if digit and low in rules.figure:
         return True
     before = text[max(cur, m.start() - 16) : m.start()].split()
     last = before[-1].rstrip(".").lower() if before else ""
@@ -138,26 +203,28 @@ def _suppressed(text: str, cur: int, t: int, nxt: str) -> bool:
     if len(low) == 1 and low.isalpha():
         if any(low == p for p, _ in _PAIRS) and re.match(r"\.\s*(?:[^\W\d_]{1,2})\.", text[t : t + 6]):
             return True
-        if word.lstrip("(").isupper() and _cased(low):  # an initial
-            return not digit and nxt != ""
+        if word.lstrip("(").isupper() and _cased(low):  # an initial, but no name begins with a word that begins sentences
+            return not digit and nxt != "" and not (before and before[-1].islower() and _starts(text, k, rules))
         if not _cased(low):
             return True
+    if _DOTTED.fullmatch(word) and nxt.isupper() and word.replace(".", "").lstrip("(").isupper():
+        return not _starts(text, k, rules)
     if low.isdigit() and len(low) <= 2 and last in ORDINAL_AFTER and (nxt.isupper() or nxt.islower()):
         return True
     return False
 
 
-def _short(text: str, cur: int, t: int, nxt: str, k: int, b: int) -> bool:
+def _short(text: str, cur: int, t: int, nxt: str, k: int, b: int, rules: Rules) -> bool:
     """Before a small letter only a full word ends a sentence (as people write
     in forums), not an abbreviation, a unit, a figure or a word with full stops."""
     if nxt == "i" and not text[k + 1 : k + 2].isalpha():
         return False
     word = _WORD_BEFORE.search(text, max(cur, t - 24), t).group()
     low = word.lower().strip(")]%")
-    return len(low) < 3 or not low.isalpha() or low in _NEVER or low in _MAY or low in _FIGURE
+    return len(low) < 3 or not low.isalpha() or low in rules.never or low in rules.may or low in rules.figure
 
 
-def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool) -> None:
+def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool, rules: Rules) -> None:
     """Units of text[a:b], which holds no hard line break."""
     cur = a
     while cur < b and text[cur].isspace():
@@ -178,7 +245,7 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool) ->
         if dot and nc == " " and not spans and e + 1 < b and "A" <= text[e + 1] <= "Z" and (not brackets or text.rfind("(", cur, t) <= text.rfind(")", cur, t)):
             # the common case: a full word before, one blank and a capital after
             word = text[max(text.rfind(" ", cur, t) + 1, cur) : t]
-            if len(word) > 2 and word.isascii() and word.isalpha() and word.islower() and word not in _NEVER and word not in _FIGURE:
+            if len(word) > 2 and word.isascii() and word.isalpha() and word.islower() and (word not in rules.never or word in TITLES) and word not in rules.figure:
                 stops.append(e)
                 out.append((cur, e))
                 cur = skip = e + 1
@@ -249,11 +316,11 @@ def _block(text: str, a: int, b: int, out: list[tuple[int, int]], thai: bool) ->
                     continue
                 if not cased and not nxt.isalpha():
                     continue
-            if lower and cased and _cased(nxt) and _short(text, cur, t, nxt, k, b):
+            if lower and cased and _cased(nxt) and _short(text, cur, t, nxt, k, b, rules):
                 continue
             if t - first <= 4 and text[first:t].strip("(").isdigit():
                 continue  # the number of a list entry or heading
-            if _suppressed(text, cur, t, nxt):
+            if _suppressed(text, cur, t, k, nxt, rules):
                 continue
         elif not run.strip(_ELLIPSIS + "."):
             if not (upper and cased):
@@ -321,20 +388,21 @@ def _heading(p: str, n: str) -> bool:
     letters = [w for w in words if any(c.isalpha() for c in w)]
     if letters and all(w.upper() == w and w.lower() != w for w in letters) and any(len(w) >= 4 for w in letters):
         return True
-    if _NUMBERED_HEADING.match(p) or re.fullmatch(r"[^\W\d_]{3,} \d{1,4}", p) or re.search(r"['’]s note$", p):
+    if _NUMBERED_HEADING.match(p) or re.fullmatch(r"[^\W\d_]{3,} \d{1,4}", p) :
         return True
     return len(words) > 1 and all(w[0].isupper() and len(w) > 3 and w.isalpha() for w in words)
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+def sentences(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of every unit, in code points, end exclusive."""
     if not text or text.isspace():
         return []
     out: list[tuple[int, int]] = []
     thai = _THAI.search(text) is not None
+    rules = rules_for(languages_of(text, lang) if "." in text else frozenset())
     breaks = [m.span() for m in _BREAKS.finditer(text)]
     if not breaks:
-        _block(text, 0, len(text), out, thai)
+        _block(text, 0, len(text), out, thai, rules)
         return _trimmed(text, out)
     lines, at = [], 0
     for s, e in breaks:
@@ -353,9 +421,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     for i in range(1, len(lines)):
         p, n = stripped[i - 1], stripped[i]
         if not p or not n or _hard(p, n, wrapped):
-            _block(text, lines[start][0], lines[i - 1][1], out, thai)
+            _block(text, lines[start][0], lines[i - 1][1], out, thai, rules)
             start = i
-    _block(text, lines[start][0], lines[-1][1], out, thai)
+    _block(text, lines[start][0], lines[-1][1], out, thai, rules)
     return _trimmed(text, out)
 
 
@@ -371,18 +439,19 @@ def _trimmed(text: str, units: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return got
 
 
-def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start_char, end_char), one row per unit."""
+def sentence_units(df: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
+    """(key, start_char, end_char), one row per unit. ``lang`` may name the text's language, loosely."""
     ddl = f"`{key}` {df.schema[key].dataType.simpleString()}, start_char long, end_char long"
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys, starts, ends = [], [], []
-            for k, t in zip(pdf[key], pdf[text]):
-                for s, e in sentences(t):
+            for k, t, g in zip(pdf["_key"], pdf["_text"], pdf["_lang"]):
+                for s, e in sentences(t, g):
                     keys.append(k)
                     starts.append(s)
                     ends.append(e)
-            yield pd.DataFrame({key: pd.Series(keys, dtype=pdf[key].dtype), "start_char": pd.Series(starts, dtype="int64"), "end_char": pd.Series(ends, dtype="int64")})
+            yield pd.DataFrame({key: pd.Series(keys, dtype=pdf["_key"].dtype), "start_char": pd.Series(starts, dtype="int64"), "end_char": pd.Series(ends, dtype="int64")})
 
-    return df.select(key, text).where(F.col(text).isNotNull()).mapInPandas(cut, ddl)
+    named = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
+    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), named.alias("_lang")).where(F.col("_text").isNotNull()).mapInPandas(cut, ddl)

@@ -72,3 +72,16 @@ def test_units_cover_the_text(text):
 def test_table(spark):
     df = spark.createDataFrame([(1, "A b. C d.", 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, start_char int")
     assert sorted(map(tuple, sentence_units(df, "doc_id", "text").collect())) == [(1, 0, 4), (1, 5, 9)]
+
+
+def test_suppression_is_that_of_the_language():
+    def cut(text, lang=None):
+        return [text[a:b] for a, b in sentences(text, lang)]
+
+    for text, units in {
+        "He took off his cap. Then he left.": 2, "She opened a new tab. Then it closed.": 2, "This is the max. The dose stayed.": 2, "They met at the col. Then they went down.": 2,
+        "He took vitamin C. It helped.": 2, "They went for plan B. She agreed.": 2, "The U.S. Army came. It stayed.": 2, "Col. Smith came. Then he left.": 2, "The book by J. Smith is old.": 1, "He lives in the U.S. He likes it.": 2,
+        "Véase la fig. 6 del cap. 59.": 1, "Vergleiche die Werte, vgl. Abb. 6.": 1, "Siehe Tab. 4 und die Werte.": 1,
+    }.items():
+        assert len(cut(text)) == units, cut(text)
+    assert len(cut("Cap. 5", "es")) == 1 and cut("", "en") == [] == cut(None)
