@@ -8,6 +8,11 @@ conversion factors come from a small broadcast table joined on the unit. Where
 the text states nothing, the numeric columns are read, with the other columns
 as context for their scale and side.
 
+``measurements`` does the same for every quantity of a table of units (mass,
+volume, time, temperature, share, concentration, or the caller's own), whatever
+it is stated about; ``bound_shares`` reads one quantity with its side and its
+numeric columns.
+
 Defined results: null or empty text is no statement; a text that states other
 quantities only is no statement; where the text states the quantity more than
 once, the first statement holds; a statement and columns that disagree are
@@ -55,7 +60,12 @@ def number_words() -> dict[str, int]:
     return words | {"one hundred": 100, "hundred": 100}
 
 
-_FIGURE = re.compile(r"(?<![A-Za-z0-9.,])\d+(?:[.,]\d+)?(?![A-Za-z0-9])")
+_FIGURE = re.compile(r"(?<![A-Za-z0-9.,])(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:[.,]\d+)?)(?![A-Za-z0-9])")
+#: A figure that its unit may follow without a blank.
+_FIGURE_UNIT = re.compile(r"(?<![A-Za-z0-9.,])(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:[.,]\d+)?)(?![\d])")
+_GROUPED = re.compile(r"[1-9]\d{0,2}(?:,\d{3})+(?:\.\d+)?")
+#: A comma that can only be a decimal mark.
+_DECIMAL_COMMA = re.compile(r"(?<![\d.,])(?:0,\d+|\d+,\d{1,2}|\d+,\d{4,})(?![\d.,])")
 _CLAUSE = re.compile(r"(?<=[.;!?])\s+(?=[A-Z\"'(]|\S+ (?:is|are|was|has)\b|[<>≥≤]?\d)")
 _BETWEEN = re.compile(r"\s*(?:%|‰|percent|per cent|per mille|per thousand)?\s*(?:-|–|—|to|and|bis|through)\s*", re.IGNORECASE)
 _NUM = r"(\d+(?:[.,]\d+)?|hundred|a hundred|one hundred|thousand|a thousand|one thousand)"
@@ -65,13 +75,21 @@ _WHOLE_FIRST = re.compile(rf"(?i)\b(?:out )?of (?:every |each )?{_NUM} (?:parts|
 _WORD = re.compile(r"\w")
 
 
+def figure(text: str, decimal_comma: bool) -> float:
+    """The number written: groups of three after commas are thousands, unless the
+    field's other figures have decimal commas."""
+    if "," in text and _GROUPED.fullmatch(text) and not decimal_comma:
+        return float(text.replace(",", ""))
+    return float(text.replace(",", "."))
+
+
 class Finder:
-    """The automaton over all aliases and number words."""
+    """The automaton over all aliases (meaning -> names) and number words."""
 
-    def __init__(self) -> None:
+    def __init__(self, aliases: dict[str, tuple[str, ...]] = ALIASES) -> None:
         self.a = ahocorasick.Automaton()
         found: dict[str, list[str]] = {}
-        for meaning, names in ALIASES.items():
+        for meaning, names in aliases.items():
             for n in names:
                 found.setdefault(n, []).append(meaning)
         for w, v in number_words().items():
@@ -125,7 +143,8 @@ def read_clause(finder: Finder, text: str) -> tuple[str, str, float, float] | No
     if "other" in meanings or not any(m.startswith("side:") for m in meanings):
         return None
     side = "free" if "side:free" in meanings else "bound"
-    numbers = [(m.start(), m.end(), float(m.group().replace(",", "."))) for m in _FIGURE.finditer(text)]
+    comma = _DECIMAL_COMMA.search(text) is not None
+    numbers = [(m.start(), m.end(), figure(m.group(), comma)) for m in _FIGURE.finditer(text)]
     numbers += [(s, e, float(x[7:])) for s, e, ms in hits for x in ms if x.startswith("number:")]
     if (share := part_of_whole(text)) is not None:
         return side, "permille", share, share
@@ -169,6 +188,80 @@ def stated_shares(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).where(F.col(text).isNotNull()).mapInPandas(read, ddl)
 
 
+#: Quantity -> unit -> (aliases, factor, offset) into the quantity's common unit, which has factor 1.
+QUANTITIES = {
+    "mass": {
+        "g": (("g", "gram", "grams", "gramme", "grammes", "gm"), 1.0, 0.0), "kg": (("kg", "kilogram", "kilograms", "kilo", "kilos"), 1e3, 0.0), "mg": (("mg", "milligram", "milligrams", "mgs"), 1e-3, 0.0),
+        "ug": (("µg", "μg", "ug", "mcg", "microgram", "micrograms"), 1e-6, 0.0), "ng": (("ng", "nanogram", "nanograms"), 1e-9, 0.0),
+    },
+    "volume": {
+        "l": (("l", "litre", "litres", "liter", "liters"), 1.0, 0.0), "dl": (("dl", "decilitre", "deciliter"), 0.1, 0.0), "ml": (("ml", "millilitre", "millilitres", "milliliter", "milliliters", "cc"), 1e-3, 0.0), "ul": (("µl", "μl", "ul", "microlitre", "microliter"), 1e-6, 0.0),
+    },
+    "time": {
+        "h": (("h", "hr", "hrs", "hour", "hours"), 1.0, 0.0), "min": (("min", "mins", "minute", "minutes"), 1 / 60, 0.0), "s": (("s", "sec", "second", "seconds"), 1 / 3600, 0.0),
+        "d": (("d", "day", "days"), 24.0, 0.0), "week": (("week", "weeks", "wk", "wks"), 168.0, 0.0), "year": (("year", "years", "yr", "yrs"), 8766.0, 0.0),
+    },
+    "temperature": {"C": (("°c", "degrees celsius", "celsius"), 1.0, 0.0), "F": (("°f", "degrees fahrenheit", "fahrenheit"), 5 / 9, -160 / 9)},
+    "share": {"percent": (("%", "percent", "per cent", "pct", "％"), 0.01, 0.0), "permille": (("‰", "per mille", "permille", "per thousand"), 0.001, 0.0)},
+    "concentration": {
+        "mg/l": (("mg/l", "µg/ml", "μg/ml", "ug/ml", "mcg/ml", "micrograms per millilitre", "micrograms per milliliter"), 1.0, 0.0), "ng/ml": (("ng/ml", "µg/l", "μg/l", "ug/l", "mcg/l", "nanograms per milliliter"), 1e-3, 0.0),
+        "g/l": (("g/l", "mg/ml"), 1e3, 0.0), "mg/dl": (("mg/dl",), 10.0, 0.0),
+    },
+}
+_RANGE = re.compile(r"\s*(?:-|–|—|to|and|through|bis)\s*", re.IGNORECASE)
+
+
+def unit_factors(quantities: dict = QUANTITIES) -> list[tuple[str, str, float, float]]:
+    """(quantity, unit, factor, offset): a few dozen rows."""
+    return [(q, u, f, o) for q, units in quantities.items() for u, (_, f, o) in units.items()]
+
+
+def measurements(df: DataFrame, key: str, text: str, quantities: dict = QUANTITIES) -> DataFrame:
+    """(key, position, quantity, unit, low, high, common_low, common_high): every
+    number of the text with a unit after it, as written and in the quantity's
+    common unit.
+
+    The longest alias at a place holds, so "mg/l" is no mass; a range takes the
+    unit of its second number; a unit of one letter counts only in small letters
+    and after a figure. Null texts, numbers without a unit and units without a
+    number give no row; repeated statements count each.
+    """
+    ddl = f"`{key}` {df.schema[key].dataType.simpleString()}, position int, quantity string, unit string, low double, high double"
+    aliases = {f"{q}|{u}": names for q, units in quantities.items() for u, (names, _, _) in units.items()}
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = Finder(aliases)
+        for pdf in batches:
+            rows = [(k, i, *m) for k, t in zip(pdf["_key"], pdf["_text"]) for i, m in enumerate(_measured(finder, t), 1)]
+            yield pd.DataFrame(rows, columns=[key, "position", "quantity", "unit", "low", "high"])
+
+    found = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull()).mapInPandas(read, ddl)
+    factors = F.broadcast(df.sparkSession.createDataFrame(unit_factors(quantities), "quantity string, unit string, factor double, offset double"))
+    a, b = (F.col(c) * F.col("factor") + F.col("offset") for c in ("low", "high"))
+    return found.join(factors, ["quantity", "unit"]).select(key, "position", "quantity", "unit", "low", "high", F.least(a, b).alias("common_low"), F.greatest(a, b).alias("common_high"))
+
+
+def _measured(finder: Finder, text: str) -> Iterator[tuple[str, str, float, float]]:
+    hits = finder.find(text)
+    comma = _DECIMAL_COMMA.search(text) is not None
+    figures = [(m.start(), m.end(), figure(m.group(), comma)) for m in _FIGURE_UNIT.finditer(text)]
+    words = [(s, e, float(m[7:])) for s, e, ms in hits for m in ms if m.startswith("number:")]
+    numbers = sorted(figures + words)
+    units = {s: m.split("|") for s, _, ms in hits for m in ms[:1] if "|" in m}
+    ends = {s: e for s, e, _ in hits}
+    before: tuple[int, int, float] | None = None
+    for n in numbers:
+        s, e, v = n
+        at = e + (len(text[e:]) - len(text[e:].lstrip(" -\u00a0")))
+        got = units.get(at) if at - e <= 2 else None
+        if got and ends[at] - at == 1 and text[at].isalpha() and (text[at].isupper() and text[at] != "L"):
+            got = None
+        if got:
+            low = before[2] if before is not None and _RANGE.fullmatch(text[before[1] : s]) and before[2] <= v else v
+            yield got[0], got[1], low, v
+        before = n
+
+
 def to_permille(side: Column, factor: Column, low: Column, high: Column) -> tuple[Column, Column]:
     """Thousandths bound, low and high end, rounded; a free share counts from the other side."""
     a, b = low * factor, high * factor

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.operators.units import bound_shares
+from tarnwork.operators.units import bound_shares, measurements
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -17,5 +17,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_shares(spark, d).select("binding_id", "low_permille", "high_permille")
 
 
-QUERIES = {"p6_found": p6_found, "p6_shares": p6_shares}
+def p6_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Every quantity the label sentences state, in its common unit."""
+    t = spark.read.parquet(f"{d}/drug_label_protein_binding.parquet")
+    return measurements(t, "binding_id", "label_sentence")
+
+
+QUERIES = {"p6_measures": p6_measures, "p6_found": p6_found, "p6_shares": p6_shares}
 SQL: dict[str, str] = {}

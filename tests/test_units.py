@@ -45,3 +45,24 @@ def test_columns_and_text(spark):
     ]
     assert shares(spark, rows) == {1: (860, 860), 2: (500, 520), 3: (870, 880), 4: (750, 750), 5: (250, 250), 6: (990, 990), 7: (60, 60), 10: (120, 120)}
     assert shares(spark, rows[:0]) == {}
+
+
+def test_measurements_of_any_quantity(spark):
+    from tarnwork.operators.units import measurements
+
+    texts = {
+        1: "A dose of 1,200 mg in 2.5 l over 90 min.", 2: "Eine Gabe von 1,5 g; danach 1,200 mg.", 3: "levels of 10 to 20 mg/l after 3h", 4: "kept at 98.6 °F or 37 °C", 5: "50% of 250 micrograms", 6: None, 7: "", 8: "no unit 12, no number mg", 9: "twenty mg", 10: "5 M solution of 7 L",
+    }
+    df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "id int, body string, unit string")
+    got = {}
+    for r in measurements(df, "id", "body").collect():
+        got.setdefault(r["id"], []).append((r["quantity"], round(r["common_low"], 6), round(r["common_high"], 6)))
+    got = {k: sorted(v) for k, v in got.items()}
+    assert got[1] == [("mass", 1.2, 1.2), ("time", 1.5, 1.5), ("volume", 2.5, 2.5)]
+    assert got[2] == [("mass", 0.0012, 0.0012), ("mass", 1.5, 1.5)]
+    assert got[3] == [("concentration", 10.0, 20.0), ("time", 3.0, 3.0)]
+    assert got[4] == [("temperature", 37.0, 37.0), ("temperature", 37.0, 37.0)]
+    assert got[5] == [("mass", 0.00025, 0.00025), ("share", 0.5, 0.5)]
+    assert got[9] == [("mass", 0.02, 0.02)] and got[10] == [("volume", 7.0, 7.0)]
+    assert set(got) == {1, 2, 3, 4, 5, 9, 10}
+    assert measurements(df.limit(0), "id", "body").count() == 0
