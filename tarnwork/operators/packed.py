@@ -27,8 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Inner delimiters a legitimate value may hold.
-MAX_INNER = 8
 _STRONG, _WEAK, _SPACE = 0, 1, 2
 #: Cost of a known value, of an unknown piece, and of each uncut delimiter in an unknown piece.
 _KNOWN, _PIECE, _KEPT = 1.0, 3.0, (5.0, 4.0, 0.0)
@@ -151,17 +149,20 @@ def segment(text: str, spans: list[tuple[int, int]], known: set[tuple[int, int]]
     left = [0, *(b for _, b, _ in cuts)]  # a piece from bound i to bound j is text[left[i]:right[j]]
     right = [*(a for a, _, _ in cuts), len(text)]
     kinds = [c[2] for c in cuts]
+    earliest: dict[int, int] = {}  # where the longest known value that ends at a place begins
+    for a, b in known:
+        earliest[b] = min(a, earliest.get(b, a))
     best: list[tuple[float, int, bool]] = [(0.0, -1, True)]
     for j in range(k + 1):
         choice = (float("inf"), -1, True)
-        kept, inner = 0.0, 0
+        kept, first = 0.0, earliest.get(right[j], len(text))
         for i in range(j, -1, -1):
             if i < j:
                 if kinds[i] == -1:  # list numbers always divide
                     break
                 kept += _KEPT[kinds[i]]
-                inner += kinds[i] != _SPACE
-                if inner > MAX_INNER:
+                # no known value begins further left, and an unknown piece only gets dearer
+                if left[i] < first and _PIECE + kept >= choice[0]:
                     break
             a, b = left[i], right[j]
             if b <= a or not text[a:b].strip():

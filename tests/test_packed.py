@@ -61,3 +61,13 @@ def test_unpack_table(spark):
 def test_very_long_field():
     text = "; ".join(f"PMID:{i}" for i in range(5000))
     assert len(values(text)) == 5000
+
+
+def test_a_known_value_with_many_delimiters_stays_whole():
+    from tarnwork.operators.packed import segment
+
+    whole = ", ".join(f"part{chr(97 + i)}" for i in range(20))
+    text = f"first; {whole}; last"
+    at = text.index(whole)
+    assert segment(text, [], {(at, at + len(whole))}) == ["first", whole, "last"]
+    assert segment(whole, [], set()) == whole.split(", ")
