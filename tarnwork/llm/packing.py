@@ -14,7 +14,7 @@ size, so no task and no driver ever holds the items.
 
 Defined results: an item larger than the capacity fills whole containers and
 its rest is packed as an item; an item of no size takes no container (container
-null); items of equal size are alike and taken in table order; a null size
+null); items of equal size are alike and taken in the order of the tasks that read them; a null size
 counts as none.
 """
 
@@ -32,6 +32,8 @@ from tarnwork.session import Workspace
 
 #: Branches after which a search whose result is not yet proven ends.
 STEPS = 100_000
+#: Positions of one size in one part of the join of items and containers.
+STRETCH = 1024
 
 
 @dataclass
@@ -282,8 +284,11 @@ def pack(items: DataFrame, key: str, size: str, capacities: list[int]) -> DataFr
                 ranges.append((s, lo, lo + n * p.times, n, start))
                 at[s] = lo + n * p.times
             start += p.times
+        # ranges of positions meet the items by size and stretch of positions, so that neither side need be small
         table = spark.createDataFrame(ranges, "_s long, _lo long, _hi long, _each long, _start long")
-        rests = placed.where(f"_rest{c} is not null").join(F.broadcast(table), (F.col(f"_rest{c}") == F.col("_s")) & (F.col(f"_pos{c}") >= F.col("_lo")) & (F.col(f"_pos{c}") < F.col("_hi")))
+        table = table.withColumn("_part", F.explode(F.sequence(F.floor(F.col("_lo") / STRETCH), F.floor((F.col("_hi") - 1) / STRETCH))))
+        item = placed.where(f"_rest{c} is not null").withColumn("_s", F.col(f"_rest{c}")).withColumn("_part", F.floor(F.col(f"_pos{c}") / STRETCH))
+        rests = item.join(table, ["_s", "_part"]).where((F.col(f"_pos{c}") >= F.col("_lo")) & (F.col(f"_pos{c}") < F.col("_hi")))
         rests = rests.select((F.col("_start") + F.floor((F.col(f"_pos{c}") - F.col("_lo")) / F.col("_each"))).cast("long").alias("container"), "_key", F.col(f"_full{c}").alias("piece"), F.col(f"_rest{c}").alias("_size"))
         fulls = placed.where(f"_full{c} > 0").select("_key", f"_fullpos{c}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_full{c}") - 1)).alias("piece"))
         fulls = fulls.select((F.lit(start) + F.col(f"_fullpos{c}") + F.col("piece")).cast("long").alias("container"), "_key", "piece", F.lit(c).cast("long").alias("_size"))

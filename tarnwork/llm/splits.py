@@ -84,6 +84,7 @@ def grouped_split(df: DataFrame, key: str, links: list[str], shares: dict[str, f
         for i, name in enumerate(names)
         if got[i]
     ]
+    # one row per distinct size and split; whether it is broadcast is left to its size
     table = df.sparkSession.createDataFrame(ranges, "size long, split string, lo long, hi long")
-    outcome = placed.join(F.broadcast(table), "size").where("pos >= lo and pos < hi").select("first", "split")
+    outcome = placed.join(table, "size").where("pos >= lo and pos < hi").select("first", "split")
     return member.join(outcome, "first").select(F.col("key").alias(key), "first", "split")
