@@ -51,7 +51,7 @@ class Hierarchy:
     links: DataFrame
 
 
-def _trim(ws: Workspace, arcs: DataFrame, levels: int = 3) -> tuple[DataFrame, int]:
+def _trim(ws: Workspace, arcs: DataFrame, levels: int = 2) -> tuple[DataFrame, int]:
     """Arcs that can lie on a circle: both ends have arcs in and out."""
     core, seen = ws.measured(arcs)
     n = seen["n"]
@@ -68,7 +68,7 @@ def _trim(ws: Workspace, arcs: DataFrame, levels: int = 3) -> tuple[DataFrame, i
     return core, n
 
 
-def _spread(ws: Workspace, arcs: DataFrame, marks: DataFrame, steps: int = 3) -> DataFrame:
+def _spread(ws: Workspace, arcs: DataFrame, marks: DataFrame, steps: int = 2) -> DataFrame:
     """(node, mark): the largest mark that reaches a node over arcs, its own included."""
     cur = ws.cut(marks.select("node", "mark"))
     while True:
@@ -199,9 +199,12 @@ def build_hierarchy(links: DataFrame, child: str = "child", parent: str = "paren
     heads, seen = ws.measured(chains.where("node = chain and up is not null").select(F.col("node").alias("of"), "up").join(place, "up").select("of", "on", "top"))
     front, segs = heads, heads
     nxt = heads.select(F.col("of").alias("on"), F.col("on").alias("on2"), F.col("top").alias("top2"))
-    while seen["n"]:
-        front, seen = ws.measured(front.join(nxt, "on").select("of", F.col("on2").alias("on"), F.col("top2").alias("top")))
-        segs = segs.unionByName(front)
+    while seen["n"]:  # two links a table
+        one = front.join(nxt, "on").select("of", F.col("on2").alias("on"), F.col("top2").alias("top"))
+        two = one.join(nxt, "on").select("of", F.col("on2").alias("on"), F.col("top2").alias("top"))
+        both, seen = ws.measured(one.withColumn("last", F.lit(False)).unionByName(two.withColumn("last", F.lit(True))))
+        segs = segs.unionByName(both.drop("last"))
+        front = both.where("last").drop("last")
     own = chains.select("node", "depth", "chain", F.col("off").alias("top"))
     above = chains.select("node", "depth", F.col("chain").alias("of")).join(segs, "of").select("node", "depth", F.col("on").alias("chain"), "top")
     segments = ws.cut(own.unionByName(above))
