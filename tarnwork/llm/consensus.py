@@ -38,7 +38,7 @@ PRIOR = 2.0
 COPY_SHARE, COPY_ERRORS, COPY_SUPPORT = 0.4, 4.0, 30
 #: A voice with more than this share of the edges is hot; there are at most ``1 / HOT_SHARE`` of them.
 HOT_SHARE = 1e-3
-#: Message rounds a table is written for, and fits of reliabilities.
+#: Fits of reliabilities a table is written for.
 STEPS = 3
 #: Edges of one pattern that one task may sum by a window.
 WIDE = 10_000
@@ -173,14 +173,11 @@ def consensus(labels: DataFrame, items: list[str], annotator: str, label: str, p
         prior = share / (1 - share)
         if done >= rounds or seen["moved"] <= tol:
             break
-        new = state
-        for _ in range(STEPS):  # the edges of a pattern stay together, so further steps shuffle sums only
-            told = in_items(_worth(new, hot), sum_w=F.col("w"))
-            msg = _chance(F.log(F.lit(prior)) + F.col("sum_w") - F.col("w"))
-            new = told.select("pattern", "n", "voice", "vote", "k", msg.alias("msg"), F.abs(msg - F.col("msg")).alias("moved"))
-        new, seen = ws.measured(new, **figures)
+        told = in_items(_worth(state, hot), sum_w=F.col("w"))
+        msg = _chance(F.log(F.lit(prior)) + F.col("sum_w") - F.col("w"))
+        new, seen = ws.measured(told.select("pattern", "n", "voice", "vote", "k", msg.alias("msg"), F.abs(msg - F.col("msg")).alias("moved")), **figures)
         ws.drop(state)
-        state, done = new, done + STEPS
+        state, done = new, done + 1
 
     odds = _worth(state, hot).groupBy("pattern").agg(F.sum("w").alias("odds"))
     odds = per_item.select("pattern").distinct().join(odds, "pattern", "left").select("pattern", (F.coalesce("odds", F.lit(0.0)) + (F.log(F.lit(prior)) if prior else F.lit(0.0))).alias("odds"))
