@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,6 +59,7 @@ def plain(text: str) -> str:
     return t if t.isascii() else "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
 
 
+@lru_cache(100_000)
 def sound(word: str) -> str:
     for a, b in _SOUND:
         word = word.replace(a, b)
@@ -101,7 +103,7 @@ class WordBatch:
     def distances(self, word: str, which: np.ndarray) -> np.ndarray:
         """Levenshtein distance of ``word`` to the chosen words."""
         m = len(word)
-        if m > 64:  # longer than a machine word
+        if m > 64 or len(which) <= 48:  # longer than a machine word, or too few for a pass over all
             return np.array([_levenshtein(word, self.words[i]) for i in which], np.int64)
         peq = np.zeros(len(self.alphabet) + 1, np.uint64)
         for i, c in enumerate(word):
@@ -219,7 +221,7 @@ class Matcher:
         for score, head in heads:
             for key, rest in self.by_head[head]:
                 cand = (tier, *score, -len(rest), key)
-                if (best is None or cand < best) and all(any(t == q or (len(q) > 4 and alignment_distance(t, q) <= 1) for t in tokens) for q in rest):
+                if (best is None or cand < best) and all(any(t == q or (len(q) > 4 and abs(len(t) - len(q)) <= 1 and _levenshtein(t, q) <= 2 and alignment_distance(t, q) <= 1) for t in tokens) for q in rest):
                     best = cand
         return best
 
@@ -243,13 +245,16 @@ class Matcher:
                 hard.append((v, tokens, windows))
         words = list(dict.fromkeys(w for _, _, ws in hard for w in ws))
         near: dict[str, list[tuple[tuple[int, int, int], str]]] = {}
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
+        for i in range(0, len(words), 32_768):
+            part = words[i : i + 32_768]
             for w, heads in zip(part, self.tree.within(part, RADIUS)):
                 good = []
                 for h in heads:
                     n = min(len(w), len(h))
                     allowed = next((s for least, s in SLIPS if n >= least), 0)
+                    # a slip is at most two plain edits, so most heads are out by the faster distance
+                    if _levenshtein(w, h) > 2 * allowed and not (n >= SOUND_LENGTH and _levenshtein(sound(w), sound(h)) <= 2):
+                        continue
                     d = alignment_distance(w, h)
                     if d <= SOUND_SLIPS:
                         s = alignment_distance(sound(w), sound(h))
@@ -287,7 +292,7 @@ def _clear_codes(entries: DataFrame, entry_id: str, entry_name: str, entry_codes
     return e.drop("c").join(kept, "i", "left")
 
 
-def map_to_list(df: DataFrame, keys: list[str], value: str, entries: DataFrame, entry_id: str, entry_name: str, entry_codes: str | None = None, shard: int = 100_000, per_task: int = 4_000) -> DataFrame:
+def map_to_list(df: DataFrame, keys: list[str], value: str, entries: DataFrame, entry_id: str, entry_name: str, entry_codes: str | None = None, shard: int = 100_000, per_task: int = 20_000) -> DataFrame:
     """(keys..., value, entry_id or null, slips or null), one row per row of ``df``.
 
     Distinct values are matched once, ``per_task`` of them in a task; each shard
