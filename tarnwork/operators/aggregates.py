@@ -114,7 +114,7 @@ def concentration(df: DataFrame, group: str, cluster: str, member: str, top: int
     sizes = per.groupBy(group, "_n").agg(F.count("*").alias("_k"))
     w = Window.partitionBy(group).orderBy(F.col("_n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     s = sizes.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0))).withColumn("_in", F.least("_k", F.greatest(F.lit(0), F.lit(top) - F.col("_before"))))
-    return s.groupBy(group).agg(F.sum("_k").alias("clusters"), F.sum(F.col("_k") * F.col("_n")).alias("members"), (F.sum(F.col("_in") * F.col("_n")) / F.sum(F.col("_k") * F.col("_n"))).alias("top_share"))
+    return s.groupBy(group).agg(F.sum("_k").alias("clusters"), F.sum(F.col("_k") * F.col("_n")).alias("members"), F.try_divide(F.sum(F.col("_in") * F.col("_n")), F.sum(F.col("_k") * F.col("_n"))).alias("top_share"))
 
 
 def pivot_max(df: DataFrame, key: str, column: str, values: list, value: str) -> DataFrame:

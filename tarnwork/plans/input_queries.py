@@ -128,19 +128,19 @@ def i_interaction_pairs(spark, d):
 
 
 def i_zipped(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", "p_brand")
+    p = _t(spark, d, "part").select(F.coalesce(F.col("p_partkey").cast("string"), F.lit("")).alias("key"), _PLAIN("p_brand").alias("brand"))
     path = f"{Workspace(spark, 'zip').root}/zips"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = io.BytesIO()
             with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("table.tsv", "key\tbrand\n" + "".join(f"{k}\t{b}\n" for k, b in zip(pdf["p_partkey"], pdf["p_brand"])))
+                z.writestr("table.tsv", "key\tbrand\n" + "".join(f"{k}\t{b}\n" for k, b in zip(pdf["key"], pdf["brand"])))
             yield pd.DataFrame({"content": [raw.getvalue()]})
 
     p.mapInPandas(pack, "content binary").write.parquet(path)
     rows = R.unzipped(spark.read.parquet(path), "table.tsv", ["key", "brand"])
-    return rows.select(F.col("key").cast("long").alias("key"), "brand")
+    return rows.select(F.col("key").try_cast("long").alias("key"), "brand")
 
 
 def i_wanted_codes(spark, d):
