@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +26,20 @@ def scored(model, df: DataFrame, features: list[str], name: str, held: str | Non
     full = df.na.fill(0.0, features)
     if held:
         full = full.withColumn("_held", F.col(held)).withColumn(held, full.agg(F.percentile(held, 0.5).alias("_median")).scalar())
-    out = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(full)).withColumn(name, vector_to_array("probability")[1])
+    # the model's own expression: no UDF, and nothing of the session is sent along
+    odds = sum((float(c) * F.col(f) for c, f in zip(model.coefficients, features)), F.lit(float(model.intercept)))
+    out = full.withColumn(name, 1 / (1 + F.exp(-odds)))
     if held:
         out = out.withColumn(held, F.col("_held"))
     return out.select(*df.columns, name)
 
 
 def scaled(df: DataFrame, features: list[str]) -> DataFrame:
-    """Features with mean 0 and deviation 1, as an array column ``scaled``."""
-    x = VectorAssembler(inputCols=features, outputCol="_x").transform(df.na.fill(0.0, features))
-    m = StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True).fit(x)
-    return m.transform(x).withColumn("scaled", vector_to_array("_z")).drop("_x", "_z")
+    """Features with mean 0 and deviation 1 (0 for constant ones), as an array column ``scaled``."""
+    full = df.na.fill(0.0, features)
+    m = full.agg(F.struct(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_samp(f).alias(f"s{i}") for i, f in enumerate(features)]).alias("_")).scalar()
+    z = [F.when(m[f"s{i}"] > 0, (F.col(f) - m[f"m{i}"]) / m[f"s{i}"]).otherwise(0.0) for i, f in enumerate(features)]
+    return full.withColumn("scaled", F.array(*z))
 
 
 def feature_columns(df: DataFrame, kind: str, kinds: list[str], lists: dict[str, list[str]], counts: list[str]) -> DataFrame:

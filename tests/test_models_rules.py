@@ -90,3 +90,19 @@ def test_walk_keeps_mass_and_bootstrap_is_stable(spark):
     long = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(100)], "source string, target string")
     assert {r.component for r in G.components(long).collect()} == {"n000"}
     assert G.components(e.limit(0)).count() == 0
+
+
+def test_scaled_features(spark):
+    df = spark.createDataFrame([(1.0, 5.0, "x"), (3.0, 5.0, "y"), (None, 5.0, "z")], "a double, b double, scaled_by string")
+    got = np.array([r["scaled"] for r in M.scaled(df, ["a", "b"]).collect()])
+    assert np.allclose(got[:, 0], (np.array([1, 3, 0]) - 4 / 3) / np.std([1, 3, 0], ddof=1)) and (got[:, 1] == 0).all()
+
+
+def test_scoring_after_an_observed_write(spark):
+    from tarnwork.session import Workspace
+
+    Workspace(spark, "observed").measured(spark.range(3))
+    df = spark.createDataFrame([(float(i % 7), int(i % 7 > 3), 1.0) for i in range(60)], "a double, y int, w double")
+    m = M.fit_logistic(df, ["a"], "y", "w", 0.1)
+    p = {r["a"]: r["p"] for r in M.scored(m, df, ["a"], "p").collect()}
+    assert all(abs(p[a] - 1 / (1 + np.exp(-(m.coefficients[0] * a + m.intercept)))) < 1e-12 for a in p)
