@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -97,45 +98,58 @@ def indicator_columns(c: Column, values: list[str], prefix: str) -> list[Column]
 _RULE = re.compile(r"\(|\)|[^\s()]+")
 
 
-def rule_value(rule: str, values: dict[str, float]) -> float | None:
-    """``and`` takes the smallest known value, ``or`` the largest; unknown names
-    are left out; ``and`` binds stronger; parentheses nest to any depth."""
-    pick = {"and": min, "or": max}
+@cache
+def rule_postfix(rule: str) -> tuple[str, ...]:
+    """The rule's names and operators in the order of their evaluation. A
+    bracket without its partner, an operator without a name on both sides and
+    names without an operator between them raise."""
     order = {"or": 1, "and": 2}
-    out: list[float | None] = []
+    out: list[str] = []
     ops: list[str] = []
-
-    def reduce_() -> None:
-        f, b, a = pick[ops.pop()], out.pop(), out.pop()
-        known = [x for x in (a, b) if x is not None]
-        out.append(f(known) if known else None)
-
-    for t in _RULE.findall(rule or ""):
+    name_next = True
+    for t in _RULE.findall(rule):
         low = t.lower()
+        if name_next == (low in order or t == ")"):
+            raise ValueError(f"malformed rule, at {t!r}: {rule}")
         if low in order:
             while ops and ops[-1] != "(" and order[ops[-1]] >= order[low]:
-                reduce_()
+                out.append(ops.pop())
             ops.append(low)
+            name_next = True
         elif t == "(":
             ops.append(t)
         elif t == ")":
             while ops and ops[-1] != "(":
-                reduce_()
-            if ops:
-                ops.pop()
-        else:
-            out.append(values.get(t))
-    while ops and len(out) > 1:
-        if ops[-1] == "(":
+                out.append(ops.pop())
+            if not ops:
+                raise ValueError(f"malformed rule, bracket closed but not opened: {rule}")
             ops.pop()
         else:
-            reduce_()
-    return out[0] if out else None
+            out.append(f"={t}")
+            name_next = False
+    if "(" in ops or (name_next and (out or ops)):
+        raise ValueError(f"malformed rule, unfinished: {rule}")
+    return (*out, *reversed(ops))
+
+
+def rule_value(rule: str, values: dict[str, float]) -> float | None:
+    """``and`` takes the smallest known value, ``or`` the largest; unknown names
+    are left out; ``and`` binds stronger; parentheses nest to any depth. An
+    empty rule has no value, a malformed one raises."""
+    pick = {"and": min, "or": max}
+    stack: list[float | None] = []
+    for t in rule_postfix(rule or ""):
+        if t[0] == "=":
+            stack.append(values.get(t[1:]))
+        else:
+            known = [x for x in (stack.pop(), stack.pop()) if x is not None]
+            stack.append(pick[t](known) if known else None)
+    return stack[0] if stack else None
 
 
 @F.pandas_udf(T.DoubleType())
 def gene_rule(rule: pd.Series, names: pd.Series, levels: pd.Series) -> pd.Series:
-    """The rule's value with the row's own names and levels."""
+    """The rule's value with the row's own names and levels; each distinct rule is read once."""
     return pd.Series([rule_value(r, dict(zip(n, v))) if r is not None and n is not None else None for r, n, v in zip(rule, names, levels)], dtype="float64")
 
 

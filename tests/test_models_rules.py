@@ -106,3 +106,19 @@ def test_scoring_after_an_observed_write(spark):
     m = M.fit_logistic(df, ["a"], "y", "w", 0.1)
     p = {r["a"]: r["p"] for r in M.scored(m, df, ["a"], "p").collect()}
     assert all(abs(p[a] - 1 / (1 + np.exp(-(m.coefficients[0] * a + m.intercept)))) < 1e-12 for a in p)
+
+
+def test_malformed_rules_raise_and_normal_tail(spark):
+    for bad in ("(a and b", "a and b)", "a and", "or a", "a b", "()", "a and and b", "(a) b"):
+        with pytest.raises(ValueError):
+            U.rule_value(bad, {"a": 1.0, "b": 2.0})
+    assert U.rule_value("", {}) is None and U.rule_value("a OR (b and c)", {"a": 1.0, "b": 5.0, "c": 4.0}) == 4.0
+    from math import erf, sqrt
+
+    from pyspark.sql import functions as F
+
+    from tarnwork.functions.stats import normal_cdf
+
+    z = [-3.0, -1.0, 0.0, 0.5, 2.5]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(normal_cdf(F.col("z"))).collect()]
+    assert all(abs(g - 0.5 * (1 + erf(x / sqrt(2)))) < 2e-7 for g, x in zip(got, z))
