@@ -210,3 +210,57 @@ def marginal_log_likelihood(matrix: DataFrame, item: list[str], source: str, rat
         (F.log(1 - F.max("_v")) + F.sum(F.col("positive") * F.log(1 - sp) + F.col("negative") * F.log(sp))).alias("_f"))
     top = F.greatest("_t", "_f")
     return per.agg(F.sum(top + F.log(F.exp(F.col("_t") - top) + F.exp(F.col("_f") - top))).alias("log_likelihood"))
+
+
+def shortest_description(candidates: DataFrame, keys: list[str], name: str, parts: list[str]) -> DataFrame:
+    """(keys, name, length): the candidate with the least sum of code lengths, ties
+    by name; a candidate that lacks a part is none."""
+    total = sum((F.col(p) for p in parts), F.lit(0.0))
+    ok = candidates.where(total.isNotNull()).select(*keys, name, total.alias("_l"))
+    return ok.groupBy(*keys).agg(F.min(F.struct("_l", name)).alias("x")).select(*keys, F.col(f"x.{name}").alias(name), F.col("x._l").alias("length"))
+
+
+def posterior_weights(posterior: DataFrame, positive: DataFrame, rates: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """(keys, weight): scale times the posterior of pairs with a positive report; a
+    fit with a source at or below chance is refused.
+    posterior(keys, posterior), positive(keys), rates(source, sensitivity, specificity)."""
+    bad = rates.where("sensitivity + specificity <= 1").agg(F.min(F.col("source").cast("string"))).scalar()
+    w = F.when(bad.isNull(), F.col("posterior") * scale).otherwise(F.raise_error(F.concat(F.lit("source at or below chance: "), bad)).cast("double"))
+    return posterior.join(positive.select(*keys).distinct(), keys, "left_semi").select(*keys, w.alias("weight"))
+
+
+def module_sides(links: DataFrame, module: str, item: str, value: str, margin: float) -> DataFrame:
+    """(item, module, above) where a module's link to an item exceeds the mean of the other modules' by the margin."""
+    t = links.where(F.col(value).isNotNull()).groupBy(F.col(item).alias("_i")).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
+    j = links.join(t, F.col(item) == F.col("_i"))
+    rest = F.when(F.col("_n") > 1, (F.col("_s") - F.col(value)) / (F.col("_n") - 1)).otherwise(0.0)
+    return j.withColumn("above", F.col(value) - rest).where(F.col("above") > margin).select(item, module, "above")
+
+
+def module_drivers(activations: DataFrame, module: str, unit: str, value: str, spread_: float, share: float) -> DataFrame:
+    """(module, unit, value): units at or above a quantile of modules whose activation spreads by more than the bound."""
+    q = activations.where(F.col(value).isNotNull()).groupBy(F.col(module).alias("_m")).agg(F.stddev_pop(value).alias("_sd"), F.percentile(value, share).alias("_q")).where(F.col("_sd") > spread_)
+    return activations.join(q, F.col(module) == F.col("_m")).where(F.col(value) >= F.col("_q")).select(module, unit, value)
+
+
+def checked(statements: DataFrame, predictions: DataFrame, tolerance: float) -> DataFrame:
+    """(statement, difference, verdict): the mean difference of two predictions over
+    the items a statement reads; judged kinds agree within the tolerance.
+    statements(statement, item, reference, other, expected, judged), predictions(unit, item, value)."""
+    a = predictions.select(F.col("unit").alias("reference"), "item", F.col("value").alias("_a"))
+    b = predictions.select(F.col("unit").alias("other"), "item", F.col("value").alias("_b"))
+    per = statements.join(a, ["reference", "item"]).join(b, ["other", "item"]).groupBy("statement").agg(F.avg(F.col("_b") - F.col("_a")).alias("difference"), F.max("expected").alias("_e"), F.max("judged").alias("_j"))
+    met = F.when(F.col("_e") > 0, F.col("difference") > tolerance).when(F.col("_e") < 0, F.col("difference") < -tolerance).otherwise(F.abs("difference") <= tolerance)
+    return per.select("statement", "difference", F.when(F.coalesce("_j", F.lit(False)), F.when(met, "met").otherwise("not met")).otherwise("not judged").alias("verdict"))
+
+
+def paired_bootstrap(df: DataFrame, unit: str, key: str, first: str, second: str, label: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
+    """(lower, mean, upper, above) of the macro average precision of the second
+    score less that of the first, the units having the same weights in both (one row)."""
+    from tarnwork.operators.ranking import bootstrap_macro
+
+    ok = df.where(F.col(first).isNotNull() & F.col(second).isNotNull())
+    a = bootstrap_macro(ok, unit, key, first, label, replicates, seed).withColumnRenamed("value", "_a")
+    b = bootstrap_macro(ok, unit, key, second, label, replicates, seed).withColumnRenamed("value", "_b")
+    d = a.join(b, "replicate").select((F.col("_b") - F.col("_a")).alias("d"))
+    return d.agg(F.percentile("d", 0.025).alias("lower"), F.avg("d").alias("mean"), F.percentile("d", 0.975).alias("upper"), F.avg((F.col("d") > 0).cast("double")).alias("above"))

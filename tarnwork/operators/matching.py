@@ -10,7 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.operators.joins import first_per_key, last_per_key
+from tarnwork.operators.joins import first_per_key, last_per_key, precedence_join, unambiguous
+
+
+def mapped_genes(nodes: DataFrame, ids: DataFrame, symbols: DataFrame, current: DataFrame, previous: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Nodes with ``gene`` and the route that found it: by id, by symbol, by the
+    current symbol's table, by the one gene that had the symbol before, by the one
+    that has it as an alias. nodes(id, symbol), the tables hold (key, value)."""
+    one = lambda t: t.where("key is not null and value is not null").groupBy("key").agg(F.min("value").alias("value"))
+    routes = [("id", F.col("id"), one(ids)), ("symbol", F.col("symbol"), one(symbols)), ("current", F.col("symbol"), one(current)), ("previous", F.col("symbol"), unambiguous(previous, "key", "value")), ("alias", F.col("symbol"), unambiguous(aliases, "key", "value"))]
+    return precedence_join(nodes, routes, "gene")
 
 
 def first_candidate(wanted: DataFrame, candidates: DataFrame, kind: str) -> DataFrame:

@@ -108,7 +108,45 @@ def e_latent_items(spark, d):
     return _latent(spark, d)[0].withColumn("posterior", F.round("posterior", 4))
 
 
-QUERIES = {f.__name__: f for f in (e_folds, e_time_split, e_without_partners, e_straddling, e_drawn, e_held_values, e_permuted, e_base_rates, e_neighbour_scores, e_kappa, e_profiles, e_latent_sources, e_latent_items, e_latent_prevalence, e_log_likelihood)}
+def e_shortest(spark, d):
+    p = _t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.sum("p_size").cast("double").alias("a"), F.round(F.avg("p_retailprice"), 4).alias("b"))
+    return V.shortest_description(p, ["p_brand"], "p_type", ["a", "b"]).withColumn("length", F.round("length", 4))
+
+
+def e_posterior_weights(spark, d):
+    k = ["perturbation_id", "symptom"]
+    r = _t(spark, d, "reports").where("perturbation_id is not null")
+    post = r.where("report_value is not null").groupBy(*k).agg(F.avg("report_value").alias("posterior"))
+    rates = r.select("source").distinct().select("source", F.lit(0.8).alias("sensitivity"), F.lit(0.7).alias("specificity"))
+    return V.posterior_weights(post, r.where("report_value = 1"), rates, k, 0.6).withColumn("weight", F.round("weight", 6))
+
+
+def _links(spark, d):
+    return _t(spark, d, "reports").where("frequency is not null and perturbation_id is not null").groupBy("symptom", "perturbation_id").agg(F.avg("frequency").alias("v"))
+
+
+def e_module_sides(spark, d):
+    return V.module_sides(_links(spark, d), "perturbation_id", "symptom", "v", 0.2).withColumn("above", F.round("above", 6))
+
+
+def e_module_drivers(spark, d):
+    return V.module_drivers(_links(spark, d), "symptom", "perturbation_id", "v", 0.1, 0.8).withColumn("v", F.round("v", 6))
+
+
+def e_checked(spark, d):
+    i = _t(spark, d, "split_items").where("perturbation_id is not null")
+    top = i.groupBy("symptom").agg(F.min("perturbation_id").alias("reference"), F.max("perturbation_id").alias("other"), F.min("item_id").alias("statement"))
+    s = top.select("statement", F.col("symptom").alias("item"), "reference", "other", (F.col("statement") % 3 - 1).alias("expected"), (F.col("statement") % 2 == 0).alias("judged"))
+    p = i.groupBy(F.col("perturbation_id").alias("unit"), F.col("symptom").alias("item")).agg(F.count("*").cast("double").alias("value"))
+    return V.checked(s, p, 0.5)
+
+
+def e_paired_bootstrap(spark, d):
+    t = _t(spark, d, "documents").where("source is not null and lang is not null").select("doc_id", "source", F.col("n_chars").cast("double").alias("a"), F.size(F.split("text", r"\s+")).cast("double").alias("b"), F.when(F.lower(F.substring("lang", 1, 2)) == "en", 1).otherwise(0).alias("label"))
+    return V.paired_bootstrap(t, "doc_id", "source", "a", "b", "label")
+
+
+QUERIES = {f.__name__: f for f in (e_folds, e_time_split, e_without_partners, e_straddling, e_drawn, e_held_values, e_permuted, e_base_rates, e_neighbour_scores, e_kappa, e_profiles, e_latent_sources, e_latent_items, e_latent_prevalence, e_log_likelihood, e_shortest, e_posterior_weights, e_module_sides, e_module_drivers, e_checked, e_paired_bootstrap)}
 
 
 _I = f"i AS (SELECT item_id, {_good('group_id')} AS grp, perturbation_type, evidence_date FROM split_items)"
@@ -134,4 +172,9 @@ SELECT left_id, symptom, max(label) AS best, round(sum(shared * label) / sum(sha
     "e_profiles": """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE x, generate_subscripts(embedding, 1) d FROM embeddings), m AS (SELECT label, d, sum(x) m FROM v GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) n FROM m GROUP BY 1), r AS (SELECT vec_id, sqrt(sum(x * x)) r FROM v GROUP BY 1)
 SELECT v.vec_id, m.label::BIGINT AS class, round(sum(v.x * m.m) / any_value(r.r) / any_value(n.n), 5) AS cosine FROM v JOIN m USING (d) JOIN n ON n.label = m.label JOIN r ON r.vec_id = v.vec_id GROUP BY 1, 2""",
     "e_log_likelihood": f"WITH {_EM}, l AS (SELECT p, s, ln(0.4) + sum(a * ln(0.8) + b * ln(0.2)) AS t, ln(0.6) + sum(a * ln(0.3) + b * ln(0.7)) AS f FROM m GROUP BY 1, 2) SELECT round(sum(greatest(t, f) + ln(exp(t - greatest(t, f)) + exp(f - greatest(t, f)))), 3) AS log_likelihood FROM l",
+    "e_shortest": "WITH p AS (SELECT p_brand, p_type, sum(p_size)::DOUBLE + round(avg(p_retailprice), 4) AS l FROM part GROUP BY 1, 2) SELECT p_brand, arg_min(p_type, {'l': l, 't': p_type}) AS p_type, round(min(l), 4) AS length FROM p WHERE l IS NOT NULL GROUP BY 1",
+    "e_posterior_weights": "SELECT perturbation_id, symptom, round(avg(report_value) * 0.6, 6) AS weight FROM reports WHERE perturbation_id IS NOT NULL AND report_value IS NOT NULL AND symptom IS NOT NULL GROUP BY 1, 2 HAVING max(report_value) = 1",
+    "e_module_sides": "WITH v AS (SELECT symptom, perturbation_id, avg(frequency) v FROM reports WHERE frequency IS NOT NULL AND perturbation_id IS NOT NULL GROUP BY 1, 2), x AS (SELECT *, v - CASE WHEN count(*) OVER w > 1 THEN (sum(v) OVER w - v) / (count(*) OVER w - 1) ELSE 0.0 END AS above FROM v WINDOW w AS (PARTITION BY symptom)) SELECT symptom, perturbation_id, round(above, 6) AS above FROM x WHERE above > 0.2 AND symptom IS NOT NULL",
+    "e_module_drivers": "WITH v AS (SELECT symptom, perturbation_id, avg(frequency) v FROM reports WHERE frequency IS NOT NULL AND perturbation_id IS NOT NULL GROUP BY 1, 2), q AS (SELECT symptom, quantile_cont(v, 0.8) q FROM v GROUP BY 1 HAVING stddev_pop(v) > 0.1) SELECT symptom, perturbation_id, round(v, 6) AS v FROM v JOIN q USING (symptom) WHERE v >= q",
+    "e_checked": "WITH i AS (SELECT * FROM split_items WHERE perturbation_id IS NOT NULL), t AS (SELECT symptom, min(perturbation_id) r, max(perturbation_id) o, min(item_id) s FROM i GROUP BY 1), p AS (SELECT perturbation_id u, symptom, count(*)::DOUBLE v FROM i GROUP BY 1, 2), x AS (SELECT s, b.v - a.v AS d FROM t JOIN p a ON a.u = r AND a.symptom = t.symptom JOIN p b ON b.u = o AND b.symptom = t.symptom) SELECT s AS statement, d AS difference, CASE WHEN s % 2 <> 0 THEN 'not judged' WHEN CASE s % 3 WHEN 2 THEN d > 0.5 WHEN 0 THEN d < -0.5 ELSE abs(d) <= 0.5 END THEN 'met' ELSE 'not met' END AS verdict FROM x",
 }

@@ -20,6 +20,14 @@ def _held(spark, d):
     return _t(spark, d, "held_out_additions").where("held_out").select(id_key(F.col("perturbation_id")).alias("unit")).distinct()
 
 
+def m_gene_map(spark, d):
+    t = _targets(spark, d)
+    key_of = lambda c, where: t.where(where).select(c.alias("key"), F.col("target").alias("value"))
+    gene, acc = F.try_element_at("gene_symbols", F.lit(1)), F.try_element_at("accessions", F.lit(1))
+    nodes = t.where("action_type = 'SUBSTRATE' or action_type is null").select("drug_target_id", acc.alias("id"), gene.alias("symbol"))
+    return M.mapped_genes(nodes, key_of(acc, "action_type = 'AGONIST'"), key_of(F.col("unit"), "action_type = 'INHIBITOR'"), key_of(gene, "target_type = 'SINGLE PROTEIN' and action_type = 'AGONIST'"), key_of(gene, "target_type = 'PROTEIN FAMILY'"), key_of(gene, "target_type = 'PROTEIN COMPLEX'")).select("drug_target_id", "gene", "gene_route")
+
+
 def m_first_candidate(spark, d):
     t = _targets(spark, d)
     want = t.groupBy("target").agg(F.min(F.lower("pref_name")).alias("name")).select(F.col("target").alias("key"), "name")
@@ -205,6 +213,7 @@ _T = f"t AS (SELECT * FROM (SELECT drug_target_id, {key('perturbation_id')} AS u
 _H = f"h AS (SELECT DISTINCT {key('perturbation_id')} AS unit FROM held_out_additions WHERE held_out)"
 
 SQL = {
+    "m_gene_map": f"WITH {_T}, a AS (SELECT accessions[1] k, min(target) v FROM t WHERE action_type = 'AGONIST' GROUP BY 1), b AS (SELECT unit k, min(target) v FROM t WHERE action_type = 'INHIBITOR' GROUP BY 1), c AS (SELECT gene_symbols[1] k, min(target) v FROM t WHERE target_type = 'SINGLE PROTEIN' AND action_type = 'AGONIST' GROUP BY 1), p AS (SELECT gene_symbols[1] k, min(target) v FROM t WHERE target_type = 'PROTEIN FAMILY' GROUP BY 1 HAVING min(target) = max(target)), l AS (SELECT gene_symbols[1] k, min(target) v FROM t WHERE target_type = 'PROTEIN COMPLEX' GROUP BY 1 HAVING min(target) = max(target)) SELECT drug_target_id, coalesce(a.v, b.v, c.v, p.v, l.v) AS gene, CASE WHEN a.v IS NOT NULL THEN 'id' WHEN b.v IS NOT NULL THEN 'symbol' WHEN c.v IS NOT NULL THEN 'current' WHEN p.v IS NOT NULL THEN 'previous' WHEN l.v IS NOT NULL THEN 'alias' ELSE 'none' END AS gene_route FROM t LEFT JOIN a ON a.k = accessions[1] LEFT JOIN b ON b.k = gene_symbols[1] LEFT JOIN c ON c.k = gene_symbols[1] LEFT JOIN p ON p.k = gene_symbols[1] LEFT JOIN l ON l.k = gene_symbols[1] WHERE action_type = 'SUBSTRATE' OR action_type IS NULL",
     "m_first_candidate": f"WITH {_T}, w AS (SELECT target, min(lower(pref_name)) n FROM t GROUP BY 1), c AS (SELECT target, drug_target_id i, CASE WHEN lower(pref_name) = n THEN 0 WHEN lower(action_type) = n THEN 1 END r FROM t JOIN w USING (target) WHERE target_type = 'SINGLE PROTEIN') SELECT target AS key, arg_min(i, {{'r': r, 'i': i}}) AS id FROM c WHERE r IS NOT NULL GROUP BY 1",
     "m_parents": "SELECT ingredient_id AS child, coalesce(min(chembl_parent) FILTER (bridge_method = 'unii'), min(chembl_parent) FILTER (bridge_method = 'name'), ingredient_id) AS parent FROM ingredient_bridge WHERE ingredient_id IS NOT NULL GROUP BY 1",
     "m_mechanism_targets": f"WITH {_T}, k AS (SELECT target, min(target_type) o FROM t GROUP BY 1) SELECT unit, target, arg_max(action_type, drug_target_id) FILTER (action_type IS NOT NULL OR true) AS action FROM (SELECT unit, target, first(action_type ORDER BY drug_target_id DESC) AS action_type, max(drug_target_id) AS drug_target_id FROM t GROUP BY 1, 2) JOIN k USING (target) WHERE coalesce(o = 'SINGLE PROTEIN', true) GROUP BY 1, 2",

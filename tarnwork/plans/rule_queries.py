@@ -100,6 +100,14 @@ def s_codes(spark, d):
     return v.select("drug_id", S.starts_with_any(F.col("other_codes"), ["N", "G", "OS"]).alias("admitted"))
 
 
+def s_gene_rule(spark, d):
+    p = _t(spark, d, "target_pairs").where("score is not null")
+    names = F.array(*[F.lit(n) for n in ("a", "b", "c")])
+    levels = F.array("score", (F.col("pair_id") % 10) / 10.0, F.lit(0.5))
+    rule = F.when(F.col("pair_id") % 2 == 0, "a or (b and c)").otherwise("(a and b) or (x and c)")
+    return p.select("pair_id", F.round(U.gene_rule(rule, names, levels), 6).alias("value"))
+
+
 def f_weighting_rows(spark, d):
     r = _t(spark, d, "reports")
     zero = (F.col("frequency") == 0) & F.col("frequency_denominator").isNotNull() & (F.col("evidence_class") == "monogenic")
@@ -213,6 +221,7 @@ array_to_string(list_transform(list_filter([{'i': 1, 'v': low}, {'i': 2, 'v': re
     "s_citations": """WITH r AS (SELECT annotation_id, list_filter(string_split(regexp_replace("references", '[^A-Za-z0-9:]+', ';', 'g'), ';'), lambda x: x <> '') c FROM annotations WHERE "references" IS NOT NULL)
 SELECT annotation_id, len(list_distinct(list_transform(list_filter(c, lambda x: split_part(x, ':', 1) NOT IN ('OMIM', 'ORPHA')), lambda x: split_part(x, ':', -1))))::INT AS kept, len(list_distinct(list_transform(list_filter(c, lambda x: split_part(x, ':', 1) IN ('OMIM', 'ORPHA')), lambda x: split_part(x, ':', -1))))::INT AS excluded FROM r""",
     "s_codes": "SELECT drug_id, coalesce(len(list_filter(other_codes, lambda x: x LIKE 'N%' OR x LIKE 'G%' OR x LIKE 'OS%')) > 0, false) AS admitted FROM drug_vocabulary",
+    "s_gene_rule": "SELECT pair_id, round(CASE WHEN pair_id % 2 = 0 THEN greatest(score, least((pair_id % 10) / 10.0, 0.5)) ELSE greatest(least(score, (pair_id % 10) / 10.0), 0.5) END, 6) AS value FROM target_pairs WHERE score IS NOT NULL",
     "f_weighting_rows": "SELECT evidence_class, symptom, count(*) AS n, count(*) FILTER (report_value = 1) AS positive FROM reports WHERE report_value = 1 OR (frequency = 0 AND frequency_denominator IS NOT NULL AND evidence_class = 'monogenic') GROUP BY 1, 2",
     "f_arm_reports": "WITH r AS (SELECT *, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') = 'trialarm' AS t FROM reports), x AS (SELECT CASE WHEN t AND frequency_denominator IS NULL THEN 'no denominator' WHEN t AND frequency IS NULL THEN 'no frequency' WHEN t AND frequency < 0.05 THEN 'within margin' END AS reason FROM r) SELECT reason, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY 1",
     "f_human_worded": "SELECT perturbation_id, symptom, count(*) AS rows FROM reports WHERE perturbation_id IS NOT NULL GROUP BY 1, 2 HAVING NOT bool_and(coalesce(contains(model_description, 'mouse'), false)) AND NOT bool_and(coalesce(model_description, '') = '')",

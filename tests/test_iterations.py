@@ -114,3 +114,15 @@ def test_a_cluster_needs_a_shared_folder():
         spark = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
         with pytest.raises(ValueError):
             shared_dir(spark)
+
+
+def test_paired_bootstrap(spark):
+    from tarnwork.operators.evaluation import paired_bootstrap
+
+    rng = random.Random(2)
+    rows = [(i, "abc"[i % 3], rng.random(), (y := int(rng.random() < 0.4)), y + rng.random() * 0.9) for i in range(120)]
+    df = spark.createDataFrame([(i, k, a, b, y) for i, k, a, y, b in rows], "id int, kind string, a double, b double, y int")
+    same = paired_bootstrap(df, "id", "kind", "a", "a", "y", 40).first()
+    assert tuple(same) == (0.0, 0.0, 0.0, 0.0)
+    better = paired_bootstrap(df, "id", "kind", "a", "b", "y", 40).first()
+    assert better["lower"] > 0 and better["above"] == 1.0 and better["lower"] <= better["mean"] <= better["upper"]
