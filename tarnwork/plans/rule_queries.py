@@ -100,6 +100,23 @@ def s_codes(spark, d):
     return v.select("drug_id", S.starts_with_any(F.col("other_codes"), ["N", "G", "OS"]).alias("admitted"))
 
 
+def s_availability(spark, d):
+    """Of dated provenance: the earliest of curation and publication, the latter made up from the first PMID."""
+    pm = F.regexp_extract("references", r"PMID:(\d+)", 1).try_cast("bigint")
+    dated = F.col("disease_id").startswith("OMIM:")
+    published = F.when(dated & pm.isNotNull(), F.array(F.make_date((2000 + pm % 20).cast("int"), (1 + pm % 12).cast("int"), F.lit(1))))
+    when = S.availability(F.when(dated, S.bracketed_dates(F.col("biocuration"))), published)
+    return _t(spark, d, "annotations").select("annotation_id", when["date"].cast("string").alias("available"), when["source"].alias("date_source"))
+
+
+def s_grade_weights(spark, d):
+    """Weights of grades by class, frequency and statement type."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in (*U.STATEMENT_WEIGHTS, "unheard")]), (1 + F.col("report_ordinal") % 7).cast("int"))
+    grade = F.element_at(F.array(*[F.lit(g) for g in "ABCDE"]), (1 + F.col("report_ordinal") % 5).cast("int"))
+    w = U.grade_weight(grade, F.col("evidence_class"), F.col("frequency"), F.when(F.col("report_ordinal") % 3 > 0, F.lower(kind)))
+    return _t(spark, d, "reports").select("report_ordinal", F.round(w, 6).alias("weight"))
+
+
 def s_gene_rule(spark, d):
     p = _t(spark, d, "target_pairs").where("score is not null")
     names = F.array(*[F.lit(n) for n in ("a", "b", "c")])
@@ -221,6 +238,11 @@ array_to_string(list_transform(list_filter([{'i': 1, 'v': low}, {'i': 2, 'v': re
     "s_citations": """WITH r AS (SELECT annotation_id, list_filter(string_split(regexp_replace("references", '[^A-Za-z0-9:]+', ';', 'g'), ';'), lambda x: x <> '') c FROM annotations WHERE "references" IS NOT NULL)
 SELECT annotation_id, len(list_distinct(list_transform(list_filter(c, lambda x: split_part(x, ':', 1) NOT IN ('OMIM', 'ORPHA')), lambda x: split_part(x, ':', -1))))::INT AS kept, len(list_distinct(list_transform(list_filter(c, lambda x: split_part(x, ':', 1) IN ('OMIM', 'ORPHA')), lambda x: split_part(x, ':', -1))))::INT AS excluded FROM r""",
     "s_codes": "SELECT drug_id, coalesce(len(list_filter(other_codes, lambda x: x LIKE 'N%' OR x LIKE 'G%' OR x LIKE 'OS%')) > 0, false) AS admitted FROM drug_vocabulary",
+    "s_availability": r"""WITH x AS (SELECT annotation_id, disease_id LIKE 'OMIM:%' AS o, list_min(list_filter(list_transform(regexp_extract_all(biocuration, '\[(\d{4}-\d{2}-\d{2})\]', 1), lambda s: try_cast(s AS DATE)), lambda s: s IS NOT NULL)) AS m, try_cast(nullif(regexp_extract("references", 'PMID:(\d+)', 1), '') AS BIGINT) p FROM annotations),
+y AS (SELECT annotation_id, CASE WHEN o THEN m END AS m, CASE WHEN o AND p IS NOT NULL THEN make_date(2000 + p % 20, 1 + p % 12, 1) END AS q FROM x)
+SELECT annotation_id, (CASE WHEN q IS NOT NULL AND (m IS NULL OR q <= m) THEN q ELSE m END)::VARCHAR AS available, CASE WHEN q IS NOT NULL AND (m IS NULL OR q <= m) THEN 'publication' WHEN m IS NOT NULL THEN 'biocuration' END AS date_source FROM y""",
+    "s_grade_weights": """WITH r AS (SELECT report_ordinal, evidence_class c, frequency f, ['A', 'B', 'C', 'D', 'E'][1 + report_ordinal % 5] g, CASE WHEN report_ordinal % 3 > 0 THEN [0.10, 0.08, 0.08, 0.08, 0.05, 0.02, 0.02][1 + report_ordinal % 7] END s FROM reports)
+SELECT report_ordinal, round((CASE WHEN c = 'open_targets' THEN 0.45 WHEN g = 'A' AND c = 'monogenic' THEN CASE WHEN f IS NULL THEN 1.0 ELSE greatest(0.25, least(1.0, f * 4)) END WHEN g = 'B' THEN CASE WHEN f IS NULL THEN 0.6 ELSE 0.6 * greatest(0.25, least(1.0, f * 10)) END WHEN g = 'E' AND s IS NOT NULL THEN s ELSE CASE g WHEN 'A' THEN 1.0 WHEN 'C' THEN 0.0 WHEN 'D' THEN 0.2 ELSE 0.05 END END)::DOUBLE, 6) AS weight FROM r""",
     "s_gene_rule": "SELECT pair_id, round(CASE WHEN pair_id % 2 = 0 THEN greatest(score, least((pair_id % 10) / 10.0, 0.5)) ELSE greatest(least(score, (pair_id % 10) / 10.0), 0.5) END, 6) AS value FROM target_pairs WHERE score IS NOT NULL",
     "f_weighting_rows": "SELECT evidence_class, symptom, count(*) AS n, count(*) FILTER (report_value = 1) AS positive FROM reports WHERE report_value = 1 OR (frequency = 0 AND frequency_denominator IS NOT NULL AND evidence_class = 'monogenic') GROUP BY 1, 2",
     "f_arm_reports": "WITH r AS (SELECT *, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') = 'trialarm' AS t FROM reports), x AS (SELECT CASE WHEN t AND frequency_denominator IS NULL THEN 'no denominator' WHEN t AND frequency IS NULL THEN 'no frequency' WHEN t AND frequency < 0.05 THEN 'within margin' END AS reason FROM r) SELECT reason, count(*) AS n FROM x WHERE reason IS NOT NULL GROUP BY 1",
