@@ -88,12 +88,32 @@ def entry_nodes(seeds: DataFrame, nodes: DataFrame, prefix: str, relation: str)
     return e.select(F.col("source").alias("node"), F.lit("entry").alias("type")).distinct(), e, drops
 
 
-def carriage_edges(carriage: DataFrame, copies: DataFrame, binders: DataFrame, compartment: str) -> DataFrame:
+def _slices(df: DataFrame, item: str, spread: int, size: int) -> DataFrame:
+    """(_set, _part, items): each set's items, which are distinct, in arrays of at
+    most ``size`` within parts by hash; the same arrays whenever they are made again."""
+    parts = df.groupBy("_set", F.pmod(F.xxhash64(item), F.lit(spread)).alias("_part")).agg(F.sort_array(F.collect_list(item)).alias("_all"))
+    cuts = F.transform(F.sequence(F.lit(0), F.size("_all") - 1, F.lit(size)), lambda i: F.slice("_all", i + 1, F.lit(size)))
+    return parts.select("_set", "_part", F.explode(cuts).alias(f"{item}s"))
+
+
+def carriage_edges(carriage: DataFrame, copies: DataFrame, binders: DataFrame, compartment: str, spread: int = 8, size: int = 256) -> DataFrame:
     """Edges from the compartment's copies of a cargo to the binder's nodes.
-    carriage(cargo, binder), copies(molecule, node, compartment), binders(binder, node)."""
-    c = copies.where(F.col("compartment") == compartment).select(F.col("molecule").alias("cargo"), F.col("node").alias("source"))
-    b = binders.select("binder", F.col("node").alias("target"))
-    return carriage.select("cargo", "binder").distinct().join(c, "cargo").join(b, "binder").select("source", "target", F.lit("carried_by").alias("relation"), F.lit(1).alias("sign")).distinct()
+    carriage(cargo, binder), copies(molecule, node, compartment), binders(binder, node).
+
+    A binder of m copies and n nodes has m * n edges, so edges are neither
+    shuffled nor compared: each copy is taken once, with the set of its binders,
+    the nodes of a set are made distinct, and slices of both are paired and dealt
+    out evenly. A task holds the edges of one pair of slices, ``size`` squared."""
+    c = copies.where(F.col("compartment") == compartment).select(F.col("molecule").alias("cargo"), F.col("node").alias("source")).where("source is not null")
+    b = binders.select("binder", F.col("node").alias("target")).where("target is not null").distinct()
+    carried = carriage.where("binder is not null").select("cargo", "binder").distinct().join(c, "cargo").groupBy("source").agg(F.sort_array(F.collect_set("binder")).alias("_set"))
+    reached = carried.select("_set").distinct().select("_set", F.explode("_set").alias("binder")).join(b, "binder").select("_set", "target").distinct()
+    # the few slices of nodes go to every part of the copies, so that the pairs of a hot set are made in several tasks
+    nodes = _slices(reached, "target", spread, size).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    pairs = _slices(carried, "source", spread, size).join(nodes, ["_set", "_part"]).select("sources", "targets")
+    pairs = pairs.repartition(int(copies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = pairs.select(F.explode("sources").alias("source"), "targets").select("source", F.explode("targets").alias("target"))
+    return edges.select("source", "target", F.lit("carried_by").alias("relation"), F.lit(1).alias("sign"))
 
 
 def participant_sets(participants: DataFrame) -> DataFrame:
